@@ -177,7 +177,7 @@ def _digest(encoder: TreeEncoder, text: str) -> tuple:
 
 
 def _ids(encoder: TreeEncoder, text: str) -> tuple:
-    return (list(memoryview(b"".join(encoder.blocks(text))).cast("I")),)
+    return (memoryview(b"".join(encoder.blocks(text))).cast("I").tolist(),)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> DataFrame:
@@ -191,6 +191,17 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     return _batched(docs.select("doc_id", "text"), read_ranks(path), pattern, schema, _digest).drop("text")
 
 
+def _whole(encoder: TreeEncoder, text: str) -> tuple:
+    ids = b"".join(encoder.blocks(text))
+    return len(ids) // 4, memoryview(ids).cast("I").tolist(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+
+
+def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
+    """doc_id, lang, source, and the number of ids, the ids, the checksum of their bytes."""
+    schema = "n_tokens long, ids array<int>, decoded_sha256 string"
+    return _batched(docs.select("doc_id", "lang", "source", "text"), read_ranks(path), pattern, schema, _whole).drop("text")
+
+
 def vocabulary() -> tuple[str, str]:
     import public_tokenizers
 
