@@ -3,12 +3,18 @@
 from __future__ import annotations
 
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    # Python workers import this package from where the driver did; on a cluster without
+    # that folder the package comes with --py-files.
+    home, path = str(Path(__file__).parents[2]), spark.sparkContext.environment.get("PYTHONPATH", "")
+    if home not in path.split(":"):
+        spark.sparkContext.environment["PYTHONPATH"] = f"{home}:{path}".rstrip(":")
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
