@@ -1,0 +1,8 @@
+"""Choice from an entity's own pool, as functions.fakes.chosen does in the JVM."""
+
+import hashlib
+
+
+def pool_choice(session: str, entity: str, token: str, pool: list[str]) -> str:
+    digest = hashlib.sha256(f"{session}|{entity}|{token}".encode()).digest()
+    return pool[int.from_bytes(digest[4:8], "big") % len(pool)]
