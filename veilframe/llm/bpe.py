@@ -34,6 +34,7 @@ from pyspark.sql.types import StructType
 from .common import fresh, table
 
 CACHE = 200_000
+MATCHES = 400_000
 #: A longer match is encoded anew each time, so the cache's memory is bounded.
 CACHED_BYTES = 64
 LEAF = 2
@@ -54,7 +55,8 @@ class TreeEncoder:
         self.ranks = ranks
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.pattern = regex.compile(pattern)
-        self.seams: dict[tuple[bytes, bytes], bool] = {}
+        self.seams: dict[tuple[bytes, bytes], list[bytes]] = {}
+        self.same: list[bytes] = []  # stands for a pair that stays as it is
         self.cache: dict[str, bytes] = {}
         self.short: dict[bytes, list[bytes]] = {}
         self.packed = {token: struct.pack("<I", rank) for token, rank in ranks.items()}
@@ -73,24 +75,32 @@ class TreeEncoder:
                 costs[at] = rank(parts[at] + parts[at + 1], none)
         return parts
 
-    def holds(self, a: bytes, b: bytes) -> bool:
-        """Whether a and b, encoded together, stay the tokens a and b."""
+    def pair(self, a: bytes, b: bytes) -> list[bytes]:
+        """Encoding of two tokens put together; not to be changed by the caller."""
         got = self.seams.get((a, b))
         if got is None:
             if len(self.seams) >= CACHE:
                 self.seams.clear()
             whole = a + b
-            got = self.seams[a, b] = self.merged([whole[i : i + 1] for i in range(len(whole))]) == [a, b]
+            got = self.merged([whole[i : i + 1] for i in range(len(whole))])
+            self.seams[a, b] = got = self.same if got == [a, b] else got
         return got
 
+    def holds(self, a: bytes, b: bytes) -> bool:
+        """Whether a and b, encoded together, stay the tokens a and b."""
+        return self.pair(a, b) is self.same
+
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
         """Encoding of two encoded strings put together."""
         if not left or not right or self.holds(left[-1], right[0]):
             return left + right
         width = 1
         while True:
-            window = b"".join(left[-width:] + right[:width])
-            new = self.merged([window[i : i + 1] for i in range(len(window))])
+            if width == 1:
+                new = self.pair(left[-1], right[0])
+            else:
+                window = b"".join(left[-width:] + right[:width])
+                new = self.merged([window[i : i + 1] for i in range(len(window))])
             before, after = left[:-width], right[width:]
             if (not before or self.holds(before[-1], new[0])) and (not after or self.holds(new[-1], after[0])):
                 return before + new + after
@@ -116,7 +126,7 @@ class TreeEncoder:
         parts = [data] if data in self.ranks else self.reduced(data)
         out = b"".join(map(self.packed.__getitem__, parts))
         if len(data) <= CACHED_BYTES:
-            if len(self.cache) >= CACHE:
+            if len(self.cache) >= MATCHES:
                 self.cache.clear()
             self.cache[match] = out
         return out
