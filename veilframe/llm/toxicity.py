@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from .common import fresh, split_words, table
 
 #: Labelled rows that the fit may use at most; all of them if there are fewer.
-SAMPLE = 12_000
+SAMPLE = 6_000
 MAX_TERMS = 3_000
 MIN_DOCS = 4
 RIDGE, COUNTERFACTUAL, STEPS = 2.0, 4.0, 250
@@ -58,32 +58,30 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
 
-def chosen_terms(docs: list[set[str]], labels: np.ndarray) -> list[str]:
+def chosen_terms(docs: list[np.ndarray], names: list[str], labels: np.ndarray) -> list[str]:
     """Terms by their chi-square with the label, identity terms first.
 
-    Of M terms some look telling by chance; those below 2 ln M are left out.
+    docs hold places in names. Of M terms some look telling by chance; those below
+    2 ln M are left out.
     """
-    seen: dict[str, list[int]] = {}
-    for words, y in zip(docs, labels, strict=True):
-        for w in words:
-            seen.setdefault(w, [0, 0])[int(y)] += 1
     n1, n = float(labels.sum()), float(len(labels))
-    scored, among = [], sum(a + b >= MIN_DOCS for a, b in seen.values())
-    for w, (a0, a1) in seen.items():
-        k = a0 + a1
-        if k >= MIN_DOCS and w not in GROUP and 0 < n1 < n:
-            e1 = k * n1 / n
-            square = (a1 - e1) ** 2 / (e1 * (1 - n1 / n))
-            if square > 2 * np.log(among):
-                scored.append((-square, w))
-    return [*GROUP, *(w for _, w in sorted(scored)[: MAX_TERMS - len(GROUP)])]
-
-
-def counterfactual_pairs(text_terms: list[set[str]], rng: np.random.Generator) -> list[tuple[set[str], set[str]]]:
-    """Labelled sentences and the same with other identity terms."""
+    whole = np.bincount(np.concatenate(docs), minlength=len(names))
+    toxic = np.bincount(np.concatenate([d for d, y in zip(docs, labels, strict=True) if y] or [np.zeros(0, int)]), minlength=len(names))
+    common = np.nonzero(whole >= MIN_DOCS)[0]
+    expected = whole[common] * n1 / n
+    square = (toxic[common] - expected) ** 2 / (expected * (1 - n1 / n))
+    telling = sorted((-x, names[i]) for x, i in zip(square, common, strict=True) if x > 2 * np.log(len(common)) and names[i] not in GROUP)
+    return [*GROUP, *(w for _, w in telling[: MAX_TERMS - len(GROUP)])]
+
+
+def counterfactual_pairs(sentences: list[set[str]], rng: np.random.Generator) -> list[tuple[set[str], set[str]]]:
+    """Identity terms of labelled sentences, and other terms in their place.
+
+    The rest of a sentence is the same on both sides and cancels in a score's change.
+    """
     out = []
-    for words in text_terms:
-        own = sorted(words & GROUP.keys())
+    for words in sentences:
+        own = sorted(words)
         if own:
             swapped = {IDENTITY_TERMS[GROUP[t]][int(rng.integers(len(IDENTITY_TERMS[GROUP[t]])))] for t in own}
             out.append((words, words - set(own) | swapped))
@@ -99,23 +97,27 @@ def fit(rows: list[tuple[str, int]]) -> dict[str, float]:
     labels = np.array([y for _, y in rows], dtype=float)
     if not len(rows) or labels.min() == labels.max():
         return {"": -1.0986122886681098}
-    docs = [terms(t) for t, _ in rows]
-    names = chosen_terms(docs, labels)
+    places: dict[str, int] = {}
+    docs, sentences = [], []
+    for text, _ in rows:
+        found = terms(text)
+        docs.append(np.array(sorted(places.setdefault(w, len(places)) for w in sorted(found)), dtype=np.int64))
+        mentions = (terms(line) & GROUP.keys() for line in text.split("\n")) if found & GROUP.keys() else ()
+        sentences.append(next((m for m in mentions if m), set()))
+    names = chosen_terms(docs, list(places), labels)
     at = {w: i for i, w in enumerate(names)}
-    rng = np.random.default_rng(7)
-    sentences = [terms(max(t.split("\n"), key=lambda s: (len(terms(s) & GROUP.keys()), len(s)))) for t, _ in rows]
-    pairs = counterfactual_pairs(sentences, rng)
-
-    def matrix(sets: list[set[str]], signs: list[tuple[set[str], float]] | None = None) -> tuple[np.ndarray, np.ndarray]:
-        r, c = [], []
-        for i, words in enumerate(sets):
-            found = sorted(at[w] for w in words if w in at)
-            r += [i] * len(found)
-            c += found
-        return np.array(r, dtype=np.int64), np.array(c, dtype=np.int64)
-
-    row, col = matrix(docs)
-    # What a pair shares cancels: only the identity terms of both sides are left.
+    pairs = counterfactual_pairs(sentences, np.random.default_rng(7))
+    column = np.full(len(places), -1)
+    for w, i in places.items():
+        column[i] = at.get(w, -1)
+    row = np.repeat(np.arange(len(docs)), [len(d) for d in docs])
+    col = column[np.concatenate(docs)]
+    row, col = row[col >= 0], col[col >= 0]
+
+    def matrix(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
+        cells = [(i, at[w]) for i, words in enumerate(sets) for w in sorted(words)]
+        return np.array([r for r, _ in cells], dtype=np.int64), np.array([c for _, c in cells], dtype=np.int64)
+
     plus, minus = matrix([a - b for a, b in pairs]), matrix([b - a for a, b in pairs])
     w, bias = np.zeros(len(names)), float(np.log(labels.mean() / (1 - labels.mean())))
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
