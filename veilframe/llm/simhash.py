@@ -26,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import acos, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -37,46 +38,53 @@ from .common import checkpoint, fresh, table
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
-#: Near-duplicates elsewhere: five words.
-STAGE_SHINGLE = 5
+#: Near-duplicates elsewhere: five words, a similarity of 0.8 or more.
+STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 BLOCK = 1 << 15
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
-    """Bits set in over half of the shingles' hashes."""
+def fingerprint(text: str | None, shingle: int = SHINGLE, more: bool = False) -> int | tuple[int, int, int]:
+    """Bits set in over half of the shingles' hashes.
+
+    more: also two words from another hash of 128 bits, for a closer estimate.
+    """
     import xxhash
 
     ws = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
     if not ws:
-        return 0
+        return (0, 0, 0) if more else 0
     whole = b" ".join(ws)
     sizes = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1
     stop = np.cumsum(sizes)
     start = (stop - sizes).tolist()
     ends = (stop - 1).tolist()[min(shingle, len(ws)) - 1 :]
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
-    for at in range(0, len(ends), BLOCK):
-        hashes = b"".join([digest(whole[a:b], SEED) for a, b in zip(start[at : at + BLOCK], ends[at : at + BLOCK], strict=False)])
-        counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(ends)).tobytes(), "big")
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    """Columns of docs but text, and the fingerprint as a signed long fp."""
+    words = []
+    for digest, n in ((xxhash.xxh64_digest, 8), (xxhash.xxh3_128_digest, 16))[: 1 + more]:
+        counts = np.zeros(8 * n, dtype=np.int64)
+        for at in range(0, len(ends), BLOCK):
+            hashes = b"".join([digest(whole[a:b], SEED) for a, b in zip(start[at : at + BLOCK], ends[at : at + BLOCK], strict=False)])
+            counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, n), axis=1).sum(axis=0, dtype=np.int64)
+        bits = np.packbits(2 * counts > len(ends)).tobytes()
+        words += [int.from_bytes(bits[i : i + 8], "big") for i in range(0, n, 8)]
+    return tuple(words) if more else words[0]
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: bool = False) -> DataFrame:
+    """Columns of docs but text, and the fingerprint as a signed long fp (more: b, c too)."""
     at = docs.columns.index("text")
-    keep = [c for c in docs.columns if c != "text"]
+    keep, out = [c for c in docs.columns if c != "text"], ["fp", "b", "c"][: 3 if more else 1]
     places = [i for i, c in enumerate(docs.columns) if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(at)], dtype=np.uint64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(made.view(np.int64))], names=[*keep, "fp"])
+            made = np.array([fingerprint(x.as_py(), shingle, more) for x in batch.column(at)], dtype=np.uint64).reshape(batch.num_rows, len(out)).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(len(out)))], names=[*keep, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, fp long")
+    return docs.mapInArrow(run, ", ".join([kinds, *(f"{c} long" for c in out)]))
 
 
 class Golay:
@@ -105,6 +113,19 @@ class Golay:
         return found
 
 
+def wide_keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys K x K of each two segments: no link of five bits is missed, few of ten are."""
+    x = fps.view(np.uint64)
+    near = [code.around(((x >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64), n) for s, n in SEGMENTS]
+    out, rows = [], []
+    for a, b in ((0, 1), (0, 2), (1, 2)):
+        i, p = np.nonzero(near[a] >= 0)
+        j, q = np.nonzero(near[b][i] >= 0)
+        out.append((np.int64(9 + a + b) << 34) | near[a][i, p][j] << 12 | near[b][i[j], q])
+        rows.append(i[j])
+    return np.concatenate(out), np.concatenate(rows), np.zeros(sum(map(len, rows)), dtype=bool)
+
+
 def keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket keys, the row of fps that each is of, and whether it only seeks."""
     x = fps.view(np.uint64)
@@ -143,46 +164,57 @@ def keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(out), np.concatenate(rows), np.concatenate(seek)
 
 
-def keyed(fps: DataFrame) -> DataFrame:
-    """(key, fp, seeks) of each distinct fp."""
+def keyed(nodes: DataFrame, wide: bool = False) -> DataFrame:
+    """(key, node, seeks) of each node (node, fp and any further words); words are kept."""
+    names, make = nodes.columns, wide_keys if wide else keys
+    at = names.index("fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Golay()
         for batch in batches:
-            values = batch.column(0).to_numpy(zero_copy_only=False)
-            for at in range(0, len(values), 2048):
-                some = np.ascontiguousarray(values[at : at + 2048])
-                k, r, s = keys(some, code)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(some[r]), pa.array(s)], names=["key", "fp", "seeks"])
-
-    return fps.select("fp").mapInArrow(run, "key long, fp long, seeks boolean")
+            for i in range(0, batch.num_rows, 1024):
+                some = batch.slice(i, 1024)
+                k, r, s = make(np.ascontiguousarray(some.column(at).to_numpy(zero_copy_only=False)), code)
+                own = [pa.array(c.to_numpy(zero_copy_only=False)[r]) for c in some.columns]
+                yield pa.RecordBatch.from_arrays([pa.array(k), *own, pa.array(s)], names=["key", *names, "seeks"])
 
+    return nodes.mapInArrow(run, "key long, " + "".join(f"{c} long, " for c in names) + "seeks boolean")
 
-def _close(a: str, b: str) -> F.Column:
-    return F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= MAX_BITS
 
+def linked(nodes: DataFrame, words: tuple[str, ...] = ("fp",), limit: int = MAX_BITS, wide: bool = False) -> DataFrame:
+    """(node, root) of the components of nodes, for those with a link.
 
-def linked(fps: DataFrame) -> DataFrame:
-    """(node, root) of the components of distinct fps, for those with a link."""
+    nodes: distinct node, fp and further words; a link: at most limit bits of all words
+    differ. With wide keys, the candidates are those that K x K of two segments gives.
+    """
     bucket = Window.partitionBy("key")
-    rows = keyed(fps).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), F.col("fp"))).over(bucket)})
+    own = F.struct("node", *words)
+
+    def close(a, b) -> F.Column:
+        return sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in words[1:]), F.bit_count(a(words[0]).bitwiseXOR(b(words[0])))) <= limit
+
+    held = lambda w: F.col("held")[w]
+    rows = keyed(nodes.select("node", *words), wide).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), own)).over(bucket)})
     # A bucket in which all seek, or with one member, holds no candidates.
-    rows = rows.where("n > 1 and held is not null").withColumn("tied", _close("fp", "held"))
+    rows = rows.where("n > 1 and held is not null").withColumn("tied", close(F.col, held))
     rows = rows.withColumn("open", F.sum((~F.col("tied")).cast("long")).over(bucket))
     # Of the rest of a bucket, pairs are due only if there are two, one not yet tied.
-    rows = checkpoint(rows.where("tied or (open > 0 and n > 2)").select("key", "fp", "seeks", "held", "tied", "open", "n"))
-    links = rows.where("tied and fp <> held").select(F.col("fp").alias("u"), F.col("held").alias("v"))
-    rest = rows.where("open > 0 and n > 2 and fp <> held").select("key", "fp", "seeks", "tied")
-    rest = rest.withColumn("held", F.min(F.when(~F.col("tied"), F.col("fp"))).over(bucket)).where("held is not null")
-    rest = rest.withColumn("near", _close("fp", "held")).withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket))
-    rest = checkpoint(rest.where("near or open > 0"))
-    links = links.union(rest.where("near and fp <> held").select("fp", "held"))
+    rows = rows.where("(tied and node <> held.node) or (open > 0 and n > 2)")
+    rows = checkpoint(rows.select("key", "node", *words, "seeks", F.col("held.node").alias("held"), "tied", ((F.col("open") > 0) & (F.col("n") > 2) & (F.col("node") != F.col("held.node"))).alias("due")))
+    links = rows.where("tied and node <> held").select(F.col("node").alias("u"), F.col("held").alias("v"))
+    rest = rows.where("due").select("key", "node", *words, "seeks", "tied")
+    rest = rest.withColumn("held", F.min(F.when(~F.col("tied"), own)).over(bucket)).where("held is not null")
+    rest = rest.withColumn("near", close(F.col, held)).withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket))
+    rest = rest.where("(near and node <> held.node) or (open > 0 and node <> held.node)")
+    rest = checkpoint(rest.select("key", "node", *words, "seeks", F.col("held.node").alias("held"), "near", (~F.col("tied") & ~F.col("near")).alias("loose"), (F.col("open") > 0).alias("due")))
+    links = links.union(rest.where("near").select("node", "held"))
     found = checkpoint(components(links))
-    last = rest.where("open > 0 and fp <> held").withColumn("loose", ~F.col("tied") & ~F.col("near")).select("key", "fp", "seeks", "loose")
-    last = checkpoint(last.join(found, F.col("fp") == F.col("node"), "left").withColumn("root", F.coalesce("root", "fp")).drop("node"))
-    a, b = last.where("loose").toDF("key", "u", "s", "loose", "ru"), last.toDF("key", "v", "t", "loose2", "rv")
-    more = a.join(b, "key").where((F.col("ru") != F.col("rv")) & ~(F.col("s") & F.col("t")) & _close("u", "v")).select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct()
-    more = checkpoint(more)
+    last = rest.where("due").join(found.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left")
+    last = checkpoint(last.select("key", "node", *words, "seeks", "loose", F.coalesce("root", "node").alias("root")))
+    a, b = last.where("loose").alias("a"), last.alias("b")
+    near = close(lambda w: F.col(f"a.{w}"), lambda w: F.col(f"b.{w}"))
+    apart = (F.col("a.root") != F.col("b.root")) & ~(F.col("a.seeks") & F.col("b.seeks"))
+    more = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & near).select(F.col("a.root").alias("u"), F.col("b.root").alias("v")).distinct())
     if more.isEmpty():
         return found
     # Roots that the last links join; the rest keep theirs.
@@ -193,12 +225,12 @@ def linked(fps: DataFrame) -> DataFrame:
 
 
 def grouped(rows: DataFrame) -> DataFrame:
-    """fp, component_id (least doc_id), root for each distinct fp of rows (doc_id, fp)."""
+    """fp and component_id (least doc_id) for each distinct fp of rows (doc_id, fp)."""
     fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = linked(fps)
+    found = linked(fps.select(F.col("fp").alias("node"), "fp"))
     rooted = fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    return rooted.join(ids, "root").select("fp", "component_id", "root")
+    return rooted.join(ids, "root").select("fp", "component_id")
 
 
 def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,15 +239,26 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE) -> DataFrame:
+def bits_for(similarity: float) -> int:
+    """Of 192 bits, how many differ at a Jaccard similarity, plus one deviation."""
+    share = acos(2 * similarity / (1 + similarity)) / pi
+    return round(192 * share + sqrt(192 * share * (1 - share)))
+
+
+def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """One row of docs for each group of near-duplicates: that with the least doc_id.
 
-    The text is shuffled once, by (id, hash of text); fingerprints travel without it.
+    Texts link if their similarity, estimated from 192 fingerprint bits, reaches the
+    limit; wide keys of the first 64 bits find the candidates. The text is shuffled once,
+    by (id, hash of text); fingerprints travel without it.
     """
     id_key, text_key = fresh(docs, "d_id", "d_text")
     marked = docs.withColumns({id_key: F.coalesce("doc_id", F.lit(-(1 << 63))), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = checkpoint(fingerprints(marked.select("doc_id", id_key, text_key, "text")))
-    of = grouped(rows.select("doc_id", "fp"))
-    stays = rows.join(of, "fp").where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    stays = stays.groupBy("root").agg(F.min(F.struct(id_key, text_key)).alias("s")).select("s.*")
-    return marked.join(stays.distinct(), [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).select(*docs.columns)
+    rows = checkpoint(fingerprints(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle, more=True))
+    words = ("fp", "b", "c")
+    nodes = checkpoint(rows.select(*words).distinct().withColumn("node", F.xxhash64(*words)))
+    rooted = nodes.join(linked(nodes, words, bits_for(similarity), wide=True), "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
+    # Null ids stay only where a group has no others.
+    stays = rows.join(rooted, list(words)).groupBy("root").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
+    stays = stays.select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
+    return marked.join(stays, [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).select(*docs.columns)
