@@ -26,6 +26,7 @@ import struct
 from collections.abc import Iterator
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
@@ -41,6 +42,7 @@ LEAF = 2
 #: Halves up to this length are kept as well; words share their beginnings and ends.
 SHORT = 8
 BLOCK = 65_536
+ROWS = 256
 
 
 def read_ranks(path: str) -> dict[bytes, int]:
@@ -158,6 +160,15 @@ def _encoder(key: str, ranks, pattern: str) -> TreeEncoder:
     return _KEPT[key]
 
 
+def _column(values: tuple, kind: pa.DataType) -> pa.Array:
+    """Arrow column; a list of ids comes as its bytes, never as Python numbers."""
+    if not pa.types.is_list(kind):
+        return pa.array(values, type=kind)
+    offsets = np.zeros(len(values) + 1, dtype=np.int32)
+    np.cumsum([len(v) // 4 for v in values], out=offsets[1:])
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(values), dtype="<i4"))).cast(kind)
+
+
 def _batched(docs: DataFrame, ranks: dict[bytes, int], pattern: str, schema: str, row) -> DataFrame:
     """docs.text through row(encoder, text) -> tuple; other selected columns first."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, of fixed size
@@ -167,10 +178,11 @@ def _batched(docs: DataFrame, ranks: dict[bytes, int], pattern: str, schema: str
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = _encoder(key, shared, pattern)
-        for batch in batches:
-            made = [row(encoder, t.as_py() or "") for t in batch.column(text)]
-            cols = [pa.array(c, type=k) for c, k in zip(zip(*made, strict=True) if made else [()] * len(kinds), kinds, strict=True)]
-            yield pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
+        for whole in batches:
+            for at in range(0, whole.num_rows, ROWS):  # the ids of a few texts at a time
+                batch = whole.slice(at, ROWS)
+                made = zip(*[row(encoder, t.as_py() or "") for t in batch.column(text)], strict=True)
+                yield pa.RecordBatch.from_arrays([*batch.columns, *map(_column, made, kinds)], names=[*batch.schema.names, *names])
 
     extra = StructType.fromDDL(schema)
     kinds, names = [f.type for f in to_arrow_schema(extra)], extra.names
@@ -187,7 +199,7 @@ def _digest(encoder: TreeEncoder, text: str) -> tuple:
 
 
 def _ids(encoder: TreeEncoder, text: str) -> tuple:
-    return (memoryview(b"".join(encoder.blocks(text))).cast("I").tolist(),)
+    return (b"".join(encoder.blocks(text)),)
 
 
 def encode(docs: DataFrame, path: str, pattern: str, name: str = "ids") -> DataFrame:
@@ -203,7 +215,7 @@ def digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
 
 def _whole(encoder: TreeEncoder, text: str) -> tuple:
     ids = b"".join(encoder.blocks(text))
-    return len(ids) // 4, memoryview(ids).cast("I").tolist(), hashlib.sha256(encoder.decode(ids)).hexdigest()
+    return len(ids) // 4, ids, hashlib.sha256(encoder.decode(ids)).hexdigest()
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
