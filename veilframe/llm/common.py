@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 from pathlib import Path
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,7 +22,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def checkpoint(df: DataFrame) -> DataFrame:
     """Writes df to the shared checkpoint folder and cuts its lineage.
 
-    The folder is spark.checkpoint.dir; only where that is unset (tests) a local
+    What is written here is narrow (ids, hashes, counts), so two files a core are enough;
+    each file costs the file system several calls. The folder is spark.checkpoint.dir; only where that is unset (tests) a local
     temporary folder takes its place.
     """
     spark = df.sparkSession
@@ -29,7 +31,12 @@ def checkpoint(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="veilframe-"))
-    return df.checkpoint()
+    return df.coalesce(2 * context.defaultParallelism).checkpoint()
+
+
+def held(df: DataFrame) -> DataFrame:
+    """df kept on the executors' disks until unpersist(); a lost part is computed again."""
+    return df.persist(StorageLevel.DISK_ONLY)
 
 
 def spaced(text: Column) -> Column:

@@ -35,6 +35,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .common import checkpoint, fresh, table
+from .common import held as held_on_disk
 from .components import components
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
@@ -200,21 +201,24 @@ def linked(nodes: DataFrame, words: tuple[str, ...] = ("fp",), limit: int = MAX_
     rows = rows.withColumn("open", F.sum((~F.col("tied")).cast("long")).over(bucket))
     # Of the rest of a bucket, pairs are due only if there are two, one not yet tied.
     rows = rows.where("(tied and node <> held.node) or (open > 0 and n > 2)")
-    rows = checkpoint(rows.select("key", "node", *words, "seeks", F.col("held.node").alias("held"), "tied", ((F.col("open") > 0) & (F.col("n") > 2) & (F.col("node") != F.col("held.node"))).alias("due")))
+    rows = held_on_disk(rows.select("key", "node", *words, "seeks", F.col("held.node").alias("held"), "tied", ((F.col("open") > 0) & (F.col("n") > 2) & (F.col("node") != F.col("held.node"))).alias("due")))
     links = rows.where("tied and node <> held").select(F.col("node").alias("u"), F.col("held").alias("v"))
     rest = rows.where("due").select("key", "node", *words, "seeks", "tied")
     rest = rest.withColumn("held", F.min(F.when(~F.col("tied"), own)).over(bucket)).where("held is not null")
     rest = rest.withColumn("near", close(F.col, held)).withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket))
     rest = rest.where("(near and node <> held.node) or (open > 0 and node <> held.node)")
-    rest = checkpoint(rest.select("key", "node", *words, "seeks", F.col("held.node").alias("held"), "near", (~F.col("tied") & ~F.col("near")).alias("loose"), (F.col("open") > 0).alias("due")))
+    rest = held_on_disk(rest.select("key", "node", *words, "seeks", F.col("held.node").alias("held"), "near", (~F.col("tied") & ~F.col("near")).alias("loose"), (F.col("open") > 0).alias("due")))
     links = links.union(rest.where("near").select("node", "held"))
     found = checkpoint(components(links))
     last = rest.where("due").join(found.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left")
-    last = checkpoint(last.select("key", "node", *words, "seeks", "loose", F.coalesce("root", "node").alias("root")))
+    last = held_on_disk(last.select("key", "node", *words, "seeks", "loose", F.coalesce("root", "node").alias("root")))
     a, b = last.where("loose").alias("a"), last.alias("b")
     near = close(lambda w: F.col(f"a.{w}"), lambda w: F.col(f"b.{w}"))
     apart = (F.col("a.root") != F.col("b.root")) & ~(F.col("a.seeks") & F.col("b.seeks"))
     more = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & near).select(F.col("a.root").alias("u"), F.col("b.root").alias("v")).distinct())
+    last.unpersist()
+    rows.unpersist()
+    rest.unpersist()
     if more.isEmpty():
         return found
     # Roots that the last links join; the rest keep theirs.
