@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, pi, sqrt
+from math import acos, log, pi, sqrt
 
 import numpy as np
 import pyarrow as pa
@@ -43,20 +43,23 @@ SHINGLE, SEED, MAX_BITS = 4, 42, 4
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 BLOCK = 1 << 15
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
+#: Ratio of sizes that one level spans.
+LEVEL = 1.6
 #: Of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, more: bool = False) -> int | tuple[int, int, int]:
+def fingerprint(text: str | None, shingle: int = SHINGLE, more: bool = False) -> int | tuple[int, int, int, int]:
     """Bits set in over half of the shingles' hashes.
 
-    more: also two words from another hash of 128 bits, for a closer estimate.
+    more: also two words from another hash of 128 bits, for a closer estimate, and the
+    number of shingles.
     """
     import xxhash
 
     ws = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
     if not ws:
-        return (0, 0, 0) if more else 0
+        return (0, 0, 0, 1) if more else 0
     whole = b" ".join(ws)
     sizes = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1
     stop = np.cumsum(sizes)
@@ -70,13 +73,13 @@ def fingerprint(text: str | None, shingle: int = SHINGLE, more: bool = False) ->
             counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, n), axis=1).sum(axis=0, dtype=np.int64)
         bits = np.packbits(2 * counts > len(ends)).tobytes()
         words += [int.from_bytes(bits[i : i + 8], "big") for i in range(0, n, 8)]
-    return tuple(words) if more else words[0]
+    return (*words, len(ends)) if more else words[0]
 
 
 def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: bool = False) -> DataFrame:
-    """Columns of docs but text, and the fingerprint as a signed long fp (more: b, c too)."""
+    """Columns of docs but text, and the fingerprint as a signed long fp (more: b, c, n too)."""
     at = docs.columns.index("text")
-    keep, out = [c for c in docs.columns if c != "text"], ["fp", "b", "c"][: 3 if more else 1]
+    keep, out = [c for c in docs.columns if c != "text"], ["fp", "b", "c", "n"][: 4 if more else 1]
     places = [i for i, c in enumerate(docs.columns) if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -114,16 +117,25 @@ class Golay:
         return found
 
 
-def wide_keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys K x K of each two segments: no link of five bits is missed, few of ten are."""
+def wide_keys(fps: np.ndarray, code: Golay, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys K x K of each two segments: no link of five bits is missed, few of ten are.
+
+    Texts of a similarity s have sizes within a factor s, so a key holds a level of the
+    size too; a size near the edge of a level gives keys of both.
+    """
     x = fps.view(np.uint64)
     near = [code.around(((x >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64), n) for s, n in SEGMENTS]
+    place, reach = np.log(sizes) / log(LEVEL), -log(STAGE_SIMILARITY) / log(LEVEL) / 2
+    low, high = np.floor(place - reach).astype(np.int64), np.floor(place + reach).astype(np.int64)
     out, rows = [], []
     for a, b in ((0, 1), (0, 2), (1, 2)):
         i, p = np.nonzero(near[a] >= 0)
         j, q = np.nonzero(near[b][i] >= 0)
-        out.append((np.int64(9 + a + b) << 34) | near[a][i, p][j] << 12 | near[b][i[j], q])
-        rows.append(i[j])
+        r = i[j]
+        key = (np.int64(9 + a + b) << 34) | near[a][i, p][j] << 12 | near[b][r, q]
+        two = high[r] > low[r]
+        out += [key | (low[r] + 1) << 40, key[two] | (high[r][two] + 1) << 40]
+        rows += [r, r[two]]
     return np.concatenate(out), np.concatenate(rows), np.zeros(sum(map(len, rows)), dtype=bool)
 
 
@@ -165,60 +177,64 @@ def keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(out), np.concatenate(rows), np.concatenate(seek)
 
 
-def keyed(nodes: DataFrame, wide: bool = False) -> DataFrame:
-    """(key, node, seeks) of each node (node, fp and any further words); words are kept."""
-    names, make = nodes.columns, wide_keys if wide else keys
-    at = names.index("fp")
+def keyed(nodes: DataFrame, words: tuple[str, ...], wide: bool = False) -> DataFrame:
+    """(key, words, seeks) of each node; wide keys need the column n too."""
+    at = nodes.columns.index("fp")
+    size = nodes.columns.index("n") if wide else None
+    places = [nodes.columns.index(w) for w in words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Golay()
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
-                k, r, s = make(np.ascontiguousarray(some.column(at).to_numpy(zero_copy_only=False)), code)
-                own = [pa.array(c.to_numpy(zero_copy_only=False)[r]) for c in some.columns]
-                yield pa.RecordBatch.from_arrays([pa.array(k), *own, pa.array(s)], names=["key", *names, "seeks"])
+                column = lambda c, some=some: np.ascontiguousarray(some.column(c).to_numpy(zero_copy_only=False))
+                k, r, s = wide_keys(column(at), code, column(size)) if wide else keys(column(at), code)
+                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(column(c)[r]) for c in places), pa.array(s)], names=["key", *words, "seeks"])
+
+    return nodes.mapInArrow(run, "key long, " + "".join(f"{c} long, " for c in words) + "seeks boolean")
+
 
-    return nodes.mapInArrow(run, "key long, " + "".join(f"{c} long, " for c in names) + "seeks boolean")
+def node_of(words: tuple[str, ...], get=F.col) -> F.Column:
+    return get(words[0]) if len(words) == 1 else F.xxhash64(*(get(w) for w in words))
 
 
 def linked(nodes: DataFrame, words: tuple[str, ...] = ("fp",), limit: int = MAX_BITS, wide: bool = False) -> DataFrame:
     """(node, root) of the components of nodes, for those with a link.
 
-    nodes: distinct node, fp and further words; a link: at most limit bits of all words
+    nodes: distinct words (and n for wide keys); a link: at most limit bits of all words
     differ. With wide keys, the candidates are those that K x K of two segments gives.
     """
     bucket = Window.partitionBy("key")
-    own = F.struct("node", *words)
+    own = F.struct(*words)
 
     def close(a, b) -> F.Column:
         return sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in words[1:]), F.bit_count(a(words[0]).bitwiseXOR(b(words[0])))) <= limit
 
     held = lambda w: F.col("held")[w]
-    rows = keyed(nodes.select("node", *words), wide).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), own)).over(bucket)})
+    rows = keyed(nodes, words, wide).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), own)).over(bucket)})
     # A bucket in which all seek, or with one member, holds no candidates.
-    rows = rows.where("n > 1 and held is not null").withColumn("tied", close(F.col, held))
+    rows = rows.where("n > 1 and held is not null").withColumns({"tied": close(F.col, held), "least": own == F.col("held")})
     rows = rows.withColumn("open", F.sum((~F.col("tied")).cast("long")).over(bucket))
     # Of the rest of a bucket, pairs are due only if there are two, one not yet tied.
-    rows = rows.where("(tied and node <> held.node) or (open > 0 and n > 2)")
-    rows = held_on_disk(rows.select("key", "node", *words, "seeks", F.col("held.node").alias("held"), "tied", ((F.col("open") > 0) & (F.col("n") > 2) & (F.col("node") != F.col("held.node"))).alias("due")))
-    links = rows.where("tied and node <> held").select(F.col("node").alias("u"), F.col("held").alias("v"))
-    rest = rows.where("due").select("key", "node", *words, "seeks", "tied")
+    rows = rows.where("not least and (tied or (open > 0 and n > 2))")
+    rows = held_on_disk(rows.select("key", *words, "seeks", node_of(words).alias("node"), node_of(words, held).alias("held"), "tied", ((F.col("open") > 0) & (F.col("n") > 2)).alias("due")))
+    links = rows.where("tied").select(F.col("node").alias("u"), F.col("held").alias("v"))
+    rest = rows.where("due").select("key", *words, "seeks", "tied")
     rest = rest.withColumn("held", F.min(F.when(~F.col("tied"), own)).over(bucket)).where("held is not null")
-    rest = rest.withColumn("near", close(F.col, held)).withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket))
-    rest = rest.where("(near and node <> held.node) or (open > 0 and node <> held.node)")
-    rest = held_on_disk(rest.select("key", "node", *words, "seeks", F.col("held.node").alias("held"), "near", (~F.col("tied") & ~F.col("near")).alias("loose"), (F.col("open") > 0).alias("due")))
+    rest = rest.withColumns({"near": close(F.col, held), "least": own == F.col("held")})
+    rest = rest.withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket)).where("not least and (near or open > 0)")
+    rest = held_on_disk(rest.select("key", *words, "seeks", node_of(words).alias("node"), node_of(words, held).alias("held"), "near", (~F.col("tied") & ~F.col("near")).alias("loose"), (F.col("open") > 0).alias("due")))
     links = links.union(rest.where("near").select("node", "held"))
     found = checkpoint(components(links))
     last = rest.where("due").join(found.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left")
-    last = held_on_disk(last.select("key", "node", *words, "seeks", "loose", F.coalesce("root", "node").alias("root")))
+    last = held_on_disk(last.select("key", *words, "seeks", "loose", F.coalesce("root", "node").alias("root")))
     a, b = last.where("loose").alias("a"), last.alias("b")
     near = close(lambda w: F.col(f"a.{w}"), lambda w: F.col(f"b.{w}"))
     apart = (F.col("a.root") != F.col("b.root")) & ~(F.col("a.seeks") & F.col("b.seeks"))
     more = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & near).select(F.col("a.root").alias("u"), F.col("b.root").alias("v")).distinct())
-    last.unpersist()
-    rows.unpersist()
-    rest.unpersist()
+    for df in (last, rest, rows):
+        df.unpersist()
     if more.isEmpty():
         return found
     # Roots that the last links join; the rest keep theirs.
@@ -231,7 +247,7 @@ def linked(nodes: DataFrame, words: tuple[str, ...] = ("fp",), limit: int = MAX_
 def grouped(rows: DataFrame) -> DataFrame:
     """fp and component_id (least doc_id) for each distinct fp of rows (doc_id, fp)."""
     fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = linked(fps.select(F.col("fp").alias("node"), "fp"))
+    found = linked(fps.select("fp"))
     rooted = fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "component_id")
@@ -260,8 +276,8 @@ def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STA
     marked = docs.withColumns({id_key: F.coalesce("doc_id", F.lit(-(1 << 63))), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
     rows = checkpoint(fingerprints(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle, more=True))
     words = ("fp", "b", "c")
-    nodes = checkpoint(rows.select(*words).distinct().withColumn("node", F.xxhash64(*words)))
-    rooted = nodes.join(linked(nodes, words, bits_for(similarity), wide=True), "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
+    nodes = checkpoint(rows.groupBy(*words).agg(F.min("n").alias("n")))
+    rooted = nodes.withColumn("node", node_of(words)).join(linked(nodes, words, bits_for(similarity), wide=True), "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
     # Null ids stay only where a group has no others.
     stays = rows.join(rooted, list(words)).groupBy("root").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
     stays = stays.select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
