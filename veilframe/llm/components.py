@@ -18,6 +18,12 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
+def _pairs(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
+    """(u, v) rows of each pair of columns, in one pass over df."""
+    listed = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))
+    return df.select(F.explode(listed).alias("e")).select("e.u", "e.v")
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node with a link; links has columns u and v of one type.
 
@@ -26,16 +32,15 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
-        both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        both = _pairs(edges, ("u", "v"), ("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
-        small = joined.select("u", F.col("m").alias("v")).union(joined.select(F.col("v").alias("u"), F.col("m").alias("v"))).where("u <> v").distinct()
+        small = _pairs(joined, ("u", "m"), ("v", "m")).where("u <> v").distinct()
         edges = checkpoint(small)
         now = _state(edges)
         if now == state:
             break
         state = now
-    nodes = edges.select(F.col("u").alias("node"), F.col("v").alias("root"))
-    return nodes.union(edges.select(F.col("v"), F.col("v")).distinct())
+    return _pairs(edges, ("u", "v"), ("v", "v")).distinct().toDF("node", "root")
