@@ -26,7 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, log, pi, sqrt
+from math import acos, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -49,42 +49,34 @@ LEVEL = 1.6
 GENERATOR = 0xC75
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE, more: bool = False) -> int | tuple[int, int, int, int]:
-    """Bits set in over half of the shingles' hashes.
-
-    more: also two words from another hash of 128 bits, for a closer estimate, and the
-    number of shingles.
-    """
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> tuple[int, int]:
+    """Bits set in over half of the shingles' hashes, and the number of shingles."""
     import xxhash
 
     ws = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
     if not ws:
-        return (0, 0, 0, 1) if more else 0
+        return 0, 1
     whole = b" ".join(ws)
     sizes = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1
     stop = np.cumsum(sizes)
     start = (stop - sizes).tolist()
     ends = (stop - 1).tolist()[min(shingle, len(ws)) - 1 :]
-    words = []
-    for digest, n in ((xxhash.xxh64_digest, 8), (xxhash.xxh3_128_digest, 16))[: 1 + more]:
-        counts = np.zeros(8 * n, dtype=np.int64)
-        for at in range(0, len(ends), BLOCK):
-            hashes = b"".join([digest(whole[a:b], SEED) for a, b in zip(start[at : at + BLOCK], ends[at : at + BLOCK], strict=False)])
-            counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, n), axis=1).sum(axis=0, dtype=np.int64)
-        bits = np.packbits(2 * counts > len(ends)).tobytes()
-        words += [int.from_bytes(bits[i : i + 8], "big") for i in range(0, n, 8)]
-    return (*words, len(ends)) if more else words[0]
-
-
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, more: bool = False) -> DataFrame:
-    """Columns of docs but text, and the fingerprint as a signed long fp (more: b, c, n too)."""
+    digest, counts = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
+    for at in range(0, len(ends), BLOCK):
+        hashes = b"".join([digest(whole[a:b], SEED) for a, b in zip(start[at : at + BLOCK], ends[at : at + BLOCK], strict=False)])
+        counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int.from_bytes(np.packbits(2 * counts > len(ends)).tobytes(), "big"), len(ends)
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sized: bool = False) -> DataFrame:
+    """Columns of docs but text, the fingerprint as a signed long fp, and (sized) n shingles."""
     at = docs.columns.index("text")
-    keep, out = [c for c in docs.columns if c != "text"], ["fp", "b", "c", "n"][: 4 if more else 1]
+    keep, out = [c for c in docs.columns if c != "text"], ["fp", "n"][: 1 + sized]
     places = [i for i, c in enumerate(docs.columns) if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), shingle, more) for x in batch.column(at)], dtype=np.uint64).reshape(batch.num_rows, len(out)).view(np.int64)
+            made = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(at)], dtype=np.uint64).reshape(batch.num_rows, 2).view(np.int64)
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(len(out)))], names=[*keep, *out])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
@@ -177,11 +169,10 @@ def keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(out), np.concatenate(rows), np.concatenate(seek)
 
 
-def keyed(nodes: DataFrame, words: tuple[str, ...], wide: bool = False) -> DataFrame:
-    """(key, words, seeks) of each node; wide keys need the column n too."""
+def keyed(nodes: DataFrame, wide: bool = False) -> DataFrame:
+    """(key, fp, seeks) of each node; wide keys need the column n too."""
     at = nodes.columns.index("fp")
     size = nodes.columns.index("n") if wide else None
-    places = [nodes.columns.index(w) for w in words]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Golay()
@@ -189,50 +180,38 @@ def keyed(nodes: DataFrame, words: tuple[str, ...], wide: bool = False) -> DataF
             for i in range(0, batch.num_rows, 1024):
                 some = batch.slice(i, 1024)
                 column = lambda c, some=some: np.ascontiguousarray(some.column(c).to_numpy(zero_copy_only=False))
-                k, r, s = wide_keys(column(at), code, column(size)) if wide else keys(column(at), code)
-                yield pa.RecordBatch.from_arrays([pa.array(k), *(pa.array(column(c)[r]) for c in places), pa.array(s)], names=["key", *words, "seeks"])
+                fps = column(at)
+                k, r, s = wide_keys(fps, code, column(size)) if wide else keys(fps, code)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[r]), pa.array(s)], names=["key", "fp", "seeks"])
 
-    return nodes.mapInArrow(run, "key long, " + "".join(f"{c} long, " for c in words) + "seeks boolean")
+    return nodes.mapInArrow(run, "key long, fp long, seeks boolean")
 
 
-def node_of(words: tuple[str, ...], get=F.col) -> F.Column:
-    return get(words[0]) if len(words) == 1 else F.xxhash64(*(get(w) for w in words))
+def linked(nodes: DataFrame, limit: int = MAX_BITS, wide: bool = False) -> DataFrame:
+    """(node, root) of the components of distinct fps, for those with a link.
 
-
-def linked(nodes: DataFrame, words: tuple[str, ...] = ("fp",), limit: int = MAX_BITS, wide: bool = False) -> DataFrame:
-    """(node, root) of the components of nodes, for those with a link.
-
-    nodes: distinct words (and n for wide keys); a link: at most limit bits of all words
-    differ. With wide keys, the candidates are those that K x K of two segments gives.
+    A link: at most limit bits differ. With wide keys (nodes has n too) the candidates
+    are those that K x K of two segments gives.
     """
     bucket = Window.partitionBy("key")
-    own = F.struct(*words)
-
-    def close(a, b) -> F.Column:
-        return sum((F.bit_count(a(w).bitwiseXOR(b(w))) for w in words[1:]), F.bit_count(a(words[0]).bitwiseXOR(b(words[0])))) <= limit
-
-    held = lambda w: F.col("held")[w]
-    rows = keyed(nodes, words, wide).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), own)).over(bucket)})
+    close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
+    rows = keyed(nodes, wide).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), F.col("fp"))).over(bucket)})
     # A bucket in which all seek, or with one member, holds no candidates.
-    rows = rows.where("n > 1 and held is not null").withColumns({"tied": close(F.col, held), "least": own == F.col("held")})
+    rows = rows.where("n > 1 and held is not null").withColumn("tied", close("fp", "held"))
     rows = rows.withColumn("open", F.sum((~F.col("tied")).cast("long")).over(bucket))
     # Of the rest of a bucket, pairs are due only if there are two, one not yet tied.
-    rows = rows.where("not least and (tied or (open > 0 and n > 2))")
-    rows = held_on_disk(rows.select("key", *words, "seeks", node_of(words).alias("node"), node_of(words, held).alias("held"), "tied", ((F.col("open") > 0) & (F.col("n") > 2)).alias("due")))
-    links = rows.where("tied").select(F.col("node").alias("u"), F.col("held").alias("v"))
-    rest = rows.where("due").select("key", *words, "seeks", "tied")
-    rest = rest.withColumn("held", F.min(F.when(~F.col("tied"), own)).over(bucket)).where("held is not null")
-    rest = rest.withColumns({"near": close(F.col, held), "least": own == F.col("held")})
-    rest = rest.withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket)).where("not least and (near or open > 0)")
-    rest = held_on_disk(rest.select("key", *words, "seeks", node_of(words).alias("node"), node_of(words, held).alias("held"), "near", (~F.col("tied") & ~F.col("near")).alias("loose"), (F.col("open") > 0).alias("due")))
-    links = links.union(rest.where("near").select("node", "held"))
+    rows = held_on_disk(rows.where("fp <> held and (tied or (open > 0 and n > 2))").selectExpr("key", "fp", "seeks", "held", "tied", "open > 0 and n > 2 as due"))
+    links = rows.where("tied").select(F.col("fp").alias("u"), F.col("held").alias("v"))
+    rest = rows.where("due").withColumn("held", F.min(F.when(~F.col("tied"), F.col("fp"))).over(bucket)).where("held is not null")
+    rest = rest.withColumn("near", close("fp", "held")).withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket))
+    rest = held_on_disk(rest.where("fp <> held and (near or open > 0)").selectExpr("key", "fp", "seeks", "held", "near", "not tied and not near as loose", "open > 0 as due"))
+    links = links.union(rest.where("near").select("fp", "held"))
     found = checkpoint(components(links))
-    last = rest.where("due").join(found.select(F.col("node").alias("n2"), "root"), F.col("node") == F.col("n2"), "left")
-    last = held_on_disk(last.select("key", *words, "seeks", "loose", F.coalesce("root", "node").alias("root")))
-    a, b = last.where("loose").alias("a"), last.alias("b")
-    near = close(lambda w: F.col(f"a.{w}"), lambda w: F.col(f"b.{w}"))
-    apart = (F.col("a.root") != F.col("b.root")) & ~(F.col("a.seeks") & F.col("b.seeks"))
-    more = checkpoint(a.join(b, (F.col("a.key") == F.col("b.key")) & apart & near).select(F.col("a.root").alias("u"), F.col("b.root").alias("v")).distinct())
+    last = rest.where("due").join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", "seeks", "loose", F.coalesce("root", "fp").alias("root"))
+    last = held_on_disk(last)
+    a, b = last.where("loose").toDF("key", "u", "s", "l1", "ru"), last.toDF("key", "v", "t", "l2", "rv")
+    apart = (F.col("ru") != F.col("rv")) & ~(F.col("s") & F.col("t"))
+    more = checkpoint(a.join(b, "key").where(apart & close("u", "v")).select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
     for df in (last, rest, rows):
         df.unpersist()
     if more.isEmpty():
@@ -260,25 +239,23 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def bits_for(similarity: float) -> int:
-    """Of 192 bits, how many differ at a Jaccard similarity, plus one deviation."""
-    share = acos(2 * similarity / (1 + similarity)) / pi
-    return round(192 * share + sqrt(192 * share * (1 - share)))
+    """Of 64 bits, how many differ on average at a Jaccard similarity."""
+    return round(64 * acos(2 * similarity / (1 + similarity)) / pi)
 
 
 def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """One row of docs for each group of near-duplicates: that with the least doc_id.
 
-    Texts link if their similarity, estimated from 192 fingerprint bits, reaches the
-    limit; wide keys of the first 64 bits find the candidates. The text is shuffled once,
-    by (id, hash of text); fingerprints travel without it.
+    Texts link if their similarity, estimated from the fingerprints, reaches the limit;
+    wide keys find the candidates. The text is shuffled once, by (id, hash of text);
+    fingerprints travel without it.
     """
     id_key, text_key = fresh(docs, "d_id", "d_text")
     marked = docs.withColumns({id_key: F.coalesce("doc_id", F.lit(-(1 << 63))), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = checkpoint(fingerprints(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle, more=True))
-    words = ("fp", "b", "c")
-    nodes = checkpoint(rows.groupBy(*words).agg(F.min("n").alias("n")))
-    rooted = nodes.withColumn("node", node_of(words)).join(linked(nodes, words, bits_for(similarity), wide=True), "node", "left").select(*words, F.coalesce("root", "node").alias("root"))
+    rows = checkpoint(fingerprints(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle, sized=True))
+    nodes = checkpoint(rows.groupBy("fp").agg(F.min("n").alias("n")))
+    rooted = nodes.join(linked(nodes, bits_for(similarity), wide=True), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
     # Null ids stay only where a group has no others.
-    stays = rows.join(rooted, list(words)).groupBy("root").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
+    stays = rows.join(rooted, "fp").groupBy("root").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
     stays = stays.select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
     return marked.join(stays, [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).select(*docs.columns)
