@@ -150,7 +150,8 @@ def editable(template_id: Column) -> Column:
 def save(spark: SparkSession, template: dict, folder: str) -> None:
     """Validates a template and writes it to the folder as JSON, replacing its file."""
     check_id(template.get("template_id", ""))
-    one = with_defaults(spark.read.schema(schema()).option("mode", "FAILFAST").json(spark.createDataFrame([(json.dumps(template),)], "value string")))
+    given = spark.createDataFrame([(json.dumps(template),)], "value string")
+    one = with_defaults(given.select(F.from_json("value", schema(), {"mode": "FAILFAST"}).alias("t")).select("t.*"))
     found = one.select(errors().alias("e")).first().e
     if found:
         raise ValueError("; ".join(found))
