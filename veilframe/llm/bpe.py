@@ -34,8 +34,8 @@ from pyspark.sql.types import StructType
 
 from .common import fresh, table
 
-CACHE = 60_000
-MATCHES = 120_000
+CACHE = 200_000
+MATCHES = 400_000
 #: A longer match is encoded anew each time, so the cache's memory is bounded.
 CACHED_BYTES = 64
 LEAF = 2
@@ -149,17 +149,6 @@ class TreeEncoder:
         return b"".join(map(self.tokens.__getitem__, memoryview(ids).cast("I")))
 
 
-#: The last encoder of this Python worker; a worker serves many tasks, its cache stays warm.
-_KEPT: dict[str, TreeEncoder] = {}
-
-
-def _encoder(key: str, ranks, pattern: str) -> TreeEncoder:
-    if key not in _KEPT:
-        _KEPT.clear()
-        _KEPT[key] = TreeEncoder(ranks.value, pattern)
-    return _KEPT[key]
-
-
 def _column(values: tuple, kind: pa.DataType) -> pa.Array:
     """Arrow column; a list of ids comes as its bytes, never as Python numbers."""
     if not pa.types.is_list(kind):
@@ -172,12 +161,11 @@ def _column(values: tuple, kind: pa.DataType) -> pa.Array:
 def _batched(docs: DataFrame, ranks: dict[bytes, int], pattern: str, schema: str, row) -> DataFrame:
     """docs.text through row(encoder, text) -> tuple; other selected columns first."""
     shared = docs.sparkSession.sparkContext.broadcast(ranks)  # the vocabulary, of fixed size
-    key = hashlib.sha256(repr((sorted(ranks.items()), pattern)).encode()).hexdigest()
     out = docs.select([c for c in docs.columns]).schema.fields
     text = next(i for i, f in enumerate(out) if f.name == "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = _encoder(key, shared, pattern)
+        encoder = TreeEncoder(shared.value, pattern)  # a task's own: an idle worker holds no caches
         for whole in batches:
             for at in range(0, whole.num_rows, ROWS):  # the ids of a few texts at a time
                 batch = whole.slice(at, ROWS)
