@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import checkpoint
 
@@ -18,10 +19,14 @@ def _state(edges: DataFrame) -> tuple:
     return tuple(r)
 
 
-def _pairs(df: DataFrame, *pairs: tuple[str, str]) -> DataFrame:
-    """(u, v) rows of each pair of columns, in one pass over df."""
-    listed = F.array(*(F.struct(F.col(a).alias("u"), F.col(b).alias("v")) for a, b in pairs))
-    return df.select(F.explode(listed).alias("e")).select("e.u", "e.v")
+def starred(links: DataFrame) -> DataFrame:
+    """Links (u, v) as one from each u to its least v and one from each other v to that.
+
+    Nodes that were joined stay joined, and one row is made of each. All links of one u
+    come together, so a u must have few; a v may have any number.
+    """
+    least = F.min("v").over(Window.partitionBy("u"))
+    return links.distinct().withColumn("m", least).select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -32,15 +37,16 @@ def components(links: DataFrame) -> DataFrame:
     edges = checkpoint(links.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     state = _state(edges)
     while state[0]:
-        both = _pairs(edges, ("u", "v"), ("v", "u"))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
+        # In every link u > v, so a node's least neighbour is the least v, or the node itself.
+        least = edges.groupBy("u").agg(F.min("v").alias("m"))
+        large = edges.join(least.select(F.col("u").alias("v"), "m"), "v", "left").select("u", F.coalesce("m", "v").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
-        joined = large.join(least, "u")
-        small = _pairs(joined, ("u", "m"), ("v", "m")).where("u <> v").distinct()
+        # The row of the least v links u to it, each other row its v.
+        small = large.join(least, "u").select(F.when(F.col("v") == F.col("m"), F.col("u")).otherwise(F.col("v")).alias("u"), F.col("m").alias("v")).distinct()
         edges = checkpoint(small)
         now = _state(edges)
         if now == state:
             break
         state = now
-    return _pairs(edges, ("u", "v"), ("v", "v")).distinct().toDF("node", "root")
+    roots = edges.groupBy("v").agg(F.max("v").alias("root"))
+    return edges.toDF("node", "root").union(roots.toDF("node", "root"))

@@ -36,7 +36,7 @@ from pyspark.sql.window import Window
 
 from .common import checkpoint, fresh, table
 from .common import held as held_on_disk
-from .components import components
+from .components import components, starred
 
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Near-duplicates elsewhere: five words, a similarity of 0.8 or more.
@@ -206,7 +206,7 @@ def linked(nodes: DataFrame, limit: int = MAX_BITS, wide: bool = False) -> DataF
     rest = rest.withColumn("near", close("fp", "held")).withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket))
     rest = held_on_disk(rest.where("fp <> held and (near or open > 0)").selectExpr("key", "fp", "seeks", "held", "near", "not tied and not near as loose", "open > 0 as due"))
     links = links.union(rest.where("near").select("fp", "held"))
-    found = checkpoint(components(links))
+    found = checkpoint(components(starred(links)))  # a node has few links of its own, one a key
     last = rest.where("due").join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", "seeks", "loose", F.coalesce("root", "fp").alias("root"))
     last = held_on_disk(last)
     a, b = last.where("loose").toDF("key", "u", "s", "l1", "ru"), last.toDF("key", "v", "t", "l2", "rv")
