@@ -217,6 +217,17 @@ def test_components_of_dense_groups(spark):
     assert {f: got.get(f, f) for f in fps} == want
 
 
+def test_chains_in_one_bucket(spark):
+    """Links between what is tied to a bucket's least only and what is near its second least only."""
+    rng, flip = np.random.default_rng(8), lambda v, bits: v ^ sum(1 << int(b) for b in bits)
+    fps = {0x64AC5DB9D707107E, 0x64AC5DB9D70F987F, 0x64AC5DB9D71FBA7D, 0x64AC5DB9D71DEA3D}
+    for _ in range(300):  # chains inside one segment, the others equal
+        v, bits = int(rng.integers(0, 2**62)), rng.permutation(21)
+        fps |= {v := flip(v, bits[4 * i : 4 * i + 4]) for i in range(4)}
+    got = dict(tuple(r) for r in simhash.linked(spark.createDataFrame([(f,) for f in fps], "fp long")).collect())
+    assert {f: got.get(f, f) for f in fps} == roots(fps, 4)
+
+
 def test_simhash(spark, texts):
     import xxhash
 

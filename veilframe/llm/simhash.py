@@ -13,9 +13,9 @@ Four errors over three segments leave these cases:
 So no link is missed, and every candidate is verified on the fingerprints.
 
 Equal fingerprints are one row before keys are made, so copies never meet each other. In
-a bucket all are compared to the least fingerprint, what is left to the least of the rest,
-and only what is then still in different components to each other; a bucket of near
-copies thus gives as many rows as it has members, not their pairs.
+a bucket all are compared to the least fingerprint, then to the least of those not linked
+to it, and then every two that are still in different components to each other; a bucket
+of near copies thus gives as many rows as it has members, not their pairs.
 
 Defined results: null or empty texts have fingerprint zero and are linked like any other;
 a null id never is the least unless all of a component are null; repeated rows get equal
@@ -203,14 +203,15 @@ def linked(nodes: DataFrame, limit: int = MAX_BITS, wide: bool = False) -> DataF
     rows = held_on_disk(rows.where("fp <> held and (tied or (open > 0 and n > 2))").selectExpr("key", "fp", "seeks", "held", "tied", "open > 0 and n > 2 as due"))
     links = rows.where("tied").select(F.col("fp").alias("u"), F.col("held").alias("v"))
     rest = rows.where("due").withColumn("held", F.min(F.when(~F.col("tied"), F.col("fp"))).over(bucket)).where("held is not null")
-    rest = rest.withColumn("near", close("fp", "held")).withColumn("open", F.sum((~F.col("tied") & ~F.col("near")).cast("long")).over(bucket))
-    rest = held_on_disk(rest.where("fp <> held and (near or open > 0)").selectExpr("key", "fp", "seeks", "held", "near", "not tied and not near as loose", "open > 0 as due"))
+    rest = held_on_disk(rest.where("fp <> held").withColumn("near", close("fp", "held")).select("key", "fp", "seeks", "held", "near"))
     links = links.union(rest.where("near").select("fp", "held"))
     found = checkpoint(components(starred(links)))  # a node has few links of its own, one a key
-    last = rest.where("due").join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", "seeks", "loose", F.coalesce("root", "fp").alias("root"))
-    last = held_on_disk(last)
-    a, b = last.where("loose").toDF("key", "u", "s", "l1", "ru"), last.toDF("key", "v", "t", "l2", "rv")
-    apart = (F.col("ru") != F.col("rv")) & ~(F.col("s") & F.col("t"))
+    last = rest.join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", "seeks", F.coalesce("root", "fp").alias("root"))
+    # Both least ones have met all; the others meet wherever their components differ.
+    last = last.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)})
+    last = held_on_disk(last.where("low < high").select("key", "fp", "seeks", "root"))
+    a, b = last.toDF("key", "u", "s", "ru"), last.toDF("key", "v", "t", "rv")
+    apart = (F.col("ru") < F.col("rv")) & ~(F.col("s") & F.col("t"))
     more = checkpoint(a.join(b, "key").where(apart & close("u", "v")).select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
     for df in (last, rest, rows):
         df.unpersist()
