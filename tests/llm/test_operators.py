@@ -255,6 +255,32 @@ def test_dedup_edges(docs, empty, clashing, spark):
     assert sorted(r.doc_id for r in simhash.dedup(df).collect()) == [1, 3]
 
 
+def kept_by_sets(texts, similarity=0.8):
+    """Ids that stay: the least of each component of texts with similar sets of five-word shingles."""
+    sets = {}
+    for i, t in texts.items():
+        w = re.findall(r"[^\x20\x09-\x0D]+", "".join(c.lower() if c.isascii() else c for c in t or ""))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+    root, ids = {i: i for i in sets}, sorted(sets)
+    for a in ids:
+        for b in ids:
+            if a < b and root[a] != root[b] and len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b]) - 1e-9:
+                low, high = sorted((root[a], root[b]))
+                root = {i: low if r == high else r for i, r in root.items()}
+    return {i for i, r in root.items() if i == r}
+
+
+def test_dedup_against_sets(spark):
+    rng, rows = np.random.default_rng(4), {}
+    for _ in range(40):  # groups of copies with up to one word in 12 changed
+        base = [f"w{i}" for i in rng.integers(0, 5000, int(rng.integers(60, 400)))]
+        for _ in range(6):
+            at = set(rng.choice(len(base), int(rng.integers(0, len(base) // 12)), replace=False))
+            rows[len(rows)] = " ".join(f"x{rng.integers(0, 5000)}" if i in at else w for i, w in enumerate(base))
+    got = {r.doc_id for r in simhash.dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == kept_by_sets(rows) and 60 < len(got) < 220
+
+
 def test_imatch(spark, texts, monkeypatch, docs, empty, clashing):
     monkeypatch.setattr(imatch, "ROWS_PER_RANGE", 17)
     got = {r.doc_id: r for r in imatch.op9_imatch(spark, SF).collect()}

@@ -26,7 +26,6 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
-from math import acos, log, pi
 
 import numpy as np
 import pyarrow as pa
@@ -41,46 +40,55 @@ from .components import components, starred
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Near-duplicates elsewhere: five words, a similarity of 0.8 or more.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
+#: Of the least hashes of a set of shingles, one band in BANDS of BAND hashes must agree:
+#: at a similarity of 0.8 it does for all but 1 in 20,000 pairs, (1 - 0.8 ** 5) ** 25.
+BANDS, BAND = 25, 5
+#: Star rounds after the first before the rest of a bucket meets pair by pair.
+ROUNDS = 2
 BLOCK = 1 << 15
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
-#: Ratio of sizes that one level spans.
-LEVEL = 1.6
 #: Of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
 GENERATOR = 0xC75
 
 
-def fingerprint(text: str | None, shingle: int = SHINGLE) -> tuple[int, int]:
-    """Bits set in over half of the shingles' hashes, and the number of shingles."""
+def hashes(text: str | None, shingle: int) -> Iterator[bytes]:
+    """Hashes of all shingles of a text in order, 8 bytes each, in blocks."""
     import xxhash
 
     ws = (text or "").encode().lower().split()  # bytes: ASCII letters and white space only
     if not ws:
-        return 0, 1
+        return
     whole = b" ".join(ws)
     sizes = np.fromiter(map(len, ws), dtype=np.int64, count=len(ws)) + 1
     stop = np.cumsum(sizes)
     start = (stop - sizes).tolist()
     ends = (stop - 1).tolist()[min(shingle, len(ws)) - 1 :]
-    digest, counts = xxhash.xxh64_digest, np.zeros(64, dtype=np.int64)
+    digest = xxhash.xxh64_digest
     for at in range(0, len(ends), BLOCK):
-        hashes = b"".join([digest(whole[a:b], SEED) for a, b in zip(start[at : at + BLOCK], ends[at : at + BLOCK], strict=False)])
-        counts += np.unpackbits(np.frombuffer(hashes, dtype=np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * counts > len(ends)).tobytes(), "big"), len(ends)
+        yield b"".join([digest(whole[a:b], SEED) for a, b in zip(start[at : at + BLOCK], ends[at : at + BLOCK], strict=False)])
 
 
-def fingerprints(docs: DataFrame, shingle: int = SHINGLE, sized: bool = False) -> DataFrame:
-    """Columns of docs but text, the fingerprint as a signed long fp, and (sized) n shingles."""
+def fingerprint(text: str | None, shingle: int = SHINGLE) -> int:
+    """Bits set in over half of the shingles' hashes."""
+    counts, n = np.zeros(64, dtype=np.int64), 0
+    for block in hashes(text, shingle):
+        bits = np.unpackbits(np.frombuffer(block, dtype=np.uint8).reshape(-1, 8), axis=1)
+        counts, n = counts + bits.sum(axis=0, dtype=np.int64), n + len(bits)
+    return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
+
+
+def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
+    """Columns of docs but text, and the fingerprint as a signed long fp."""
     at = docs.columns.index("text")
-    keep, out = [c for c in docs.columns if c != "text"], ["fp", "n"][: 1 + sized]
-    places = [i for i, c in enumerate(docs.columns) if c != "text"]
+    keep, places = [c for c in docs.columns if c != "text"], [i for i, c in enumerate(docs.columns) if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(at)], dtype=np.uint64).reshape(batch.num_rows, 2).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), *(pa.array(np.ascontiguousarray(made[:, i])) for i in range(len(out)))], names=[*keep, *out])
+            made = np.array([fingerprint(x.as_py(), shingle) for x in batch.column(at)], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(made)], names=[*keep, "fp"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(run, ", ".join([kinds, *(f"{c} long" for c in out)]))
+    return docs.mapInArrow(run, ", ".join([kinds, "fp long"]))
 
 
 class Golay:
@@ -109,28 +117,6 @@ class Golay:
         return found
 
 
-def wide_keys(fps: np.ndarray, code: Golay, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Keys K x K of each two segments: no link of five bits is missed, few of ten are.
-
-    Texts of a similarity s have sizes within a factor s, so a key holds a level of the
-    size too; a size near the edge of a level gives keys of both.
-    """
-    x = fps.view(np.uint64)
-    near = [code.around(((x >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64), n) for s, n in SEGMENTS]
-    place, reach = np.log(sizes) / log(LEVEL), -log(STAGE_SIMILARITY) / log(LEVEL) / 2
-    low, high = np.floor(place - reach).astype(np.int64), np.floor(place + reach).astype(np.int64)
-    out, rows = [], []
-    for a, b in ((0, 1), (0, 2), (1, 2)):
-        i, p = np.nonzero(near[a] >= 0)
-        j, q = np.nonzero(near[b][i] >= 0)
-        r = i[j]
-        key = (np.int64(9 + a + b) << 34) | near[a][i, p][j] << 12 | near[b][r, q]
-        two = high[r] > low[r]
-        out += [key | (low[r] + 1) << 40, key[two] | (high[r][two] + 1) << 40]
-        rows += [r, r[two]]
-    return np.concatenate(out), np.concatenate(rows), np.zeros(sum(map(len, rows)), dtype=bool)
-
-
 def keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket keys, the row of fps that each is of, and whether it only seeks."""
     x = fps.view(np.uint64)
@@ -169,33 +155,26 @@ def keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return np.concatenate(out), np.concatenate(rows), np.concatenate(seek)
 
 
-def keyed(nodes: DataFrame, wide: bool = False) -> DataFrame:
-    """(key, fp, seeks) of each node; wide keys need the column n too."""
+def keyed(nodes: DataFrame) -> DataFrame:
+    """(key, fp, seeks) of each node."""
     at = nodes.columns.index("fp")
-    size = nodes.columns.index("n") if wide else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         code = Golay()
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
-                some = batch.slice(i, 1024)
-                column = lambda c, some=some: np.ascontiguousarray(some.column(c).to_numpy(zero_copy_only=False))
-                fps = column(at)
-                k, r, s = wide_keys(fps, code, column(size)) if wide else keys(fps, code)
+                fps = np.ascontiguousarray(batch.slice(i, 1024).column(at).to_numpy(zero_copy_only=False))
+                k, r, s = keys(fps, code)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[r]), pa.array(s)], names=["key", "fp", "seeks"])
 
     return nodes.mapInArrow(run, "key long, fp long, seeks boolean")
 
 
-def linked(nodes: DataFrame, limit: int = MAX_BITS, wide: bool = False) -> DataFrame:
-    """(node, root) of the components of distinct fps, for those with a link.
-
-    A link: at most limit bits differ. With wide keys (nodes has n too) the candidates
-    are those that K x K of two segments gives.
-    """
+def linked(nodes: DataFrame, limit: int = MAX_BITS) -> DataFrame:
+    """(node, root) of the components of distinct fps, for those with a link: at most limit bits differ."""
     bucket = Window.partitionBy("key")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
-    rows = keyed(nodes, wide).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), F.col("fp"))).over(bucket)})
+    rows = keyed(nodes).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), F.col("fp"))).over(bucket)})
     # A bucket in which all seek, or with one member, holds no candidates.
     rows = rows.where("n > 1 and held is not null").withColumn("tied", close("fp", "held"))
     rows = rows.withColumn("open", F.sum((~F.col("tied")).cast("long")).over(bucket))
@@ -239,24 +218,98 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def bits_for(similarity: float) -> int:
-    """Of 64 bits, how many differ on average at a Jaccard similarity."""
-    return round(64 * acos(2 * similarity / (1 + similarity)) / pi)
+def sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """Columns of docs but text; node, a hash of the text's set of shingles; n, their number;
+    held, their hashes, sorted, 32 bits each; keys, one of each band of least hashes."""
+    at = docs.columns.index("text")
+    keep, places = [c for c in docs.columns if c != "text"], [i for i, c in enumerate(docs.columns) if c != "text"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        import xxhash
+
+        rng = np.random.default_rng(SEED)
+        flip, times = (rng.integers(0, 1 << 64, (BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1) for _ in range(2))
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                batch, rows = whole.slice(i, 256), []
+                for x in batch.column(at):
+                    found = np.unique(np.frombuffer(b"".join(hashes(x.as_py(), shingle)), dtype=np.uint64))
+                    least = np.full(BANDS * BAND, -1, dtype=np.int64).view(np.uint64)
+                    for j in range(0, len(found), 1024):
+                        least = np.minimum(least, ((found[j : j + 1024] ^ flip) * times).min(axis=1))
+                    keys = [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)]
+                    held = np.unique(found.astype(np.uint32))
+                    rows.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(held), held.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
+                node, n, held, keys = zip(*rows, strict=True)
+                made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, type=pa.int64()), pa.array(held, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), *made], names=[*keep, "node", "n", "held", "keys"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    return docs.mapInArrow(run, f"{kinds}, node long, n long, held binary, keys array<long>")
+
+
+def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Those of pairs (u, v) whose sets (node, held) have the Jaccard similarity or more."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            take = []
+            for a, b in zip(batch.column(2), batch.column(3), strict=True):
+                x, y = (np.frombuffer(c.as_py(), dtype=np.uint32) for c in (a, b))
+                both = len(np.intersect1d(x, y, assume_unique=True))
+                take.append(both >= similarity * (len(x) + len(y) - both) - 1e-9)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(take, type=pa.bool_()))
+
+    both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
+    return both.mapInArrow(run, "u long, v long")
+
+
+def alike(rows: DataFrame, similarity: float) -> DataFrame:
+    """(node, root) of the components of nodes (of sketched rows), for those with a link.
+
+    In a bucket all are compared to the least node, then ROUNDS times to the least of those
+    in other components than the last one compared to, then every two still in different
+    components. Sizes alone exclude pairs whose sizes differ by more than the similarity.
+    """
+    bucket = Window.partitionBy("key")
+    fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
+    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    members = nodes.select("node", "n", F.explode("keys").alias("key")).withColumn("size", F.count(F.lit(1)).over(bucket))
+    members = held_on_disk(members.where("size > 1").select("key", "node", "n"))
+    sets = checkpoint(rows.select("node", "held").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    links = found = None
+    for left in range(ROUNDS, -2, -1):
+        if found is None:
+            now = members.withColumn("root", F.col("node"))
+        else:
+            now = members.join(found.toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+            now = now.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high").drop("low", "high")
+        if left >= 0:
+            now = now.withColumn("hub", F.min(F.struct(F.xxhash64("node", F.lit(left)), "node", "n", "root")).over(bucket))
+            pairs = now.where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
+        else:
+            a, b = now.toDF("key", "u", "n1", "ru"), now.toDF("key", "v", "n2", "rv")
+            pairs = a.join(b, (a.key == b.key) & (F.col("ru") < F.col("rv")) & fits(F.col("n1"), F.col("n2"))).select("u", "v")
+        more = checkpoint(similar(pairs.distinct(), sets, similarity))
+        links = more if links is None else links.union(more)
+        if found is None or not more.isEmpty():
+            found = checkpoint(components(links))
+    members.unpersist()
+    return found
 
 
 def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """One row of docs for each group of near-duplicates: that with the least doc_id.
 
-    Texts link if their similarity, estimated from the fingerprints, reaches the limit;
-    wide keys find the candidates. The text is shuffled once, by (id, hash of text);
-    fingerprints travel without it.
+    Texts link if their sets of shingles have the Jaccard similarity or more: bands of least
+    hashes find the candidates, and each is verified on the sets. The text is shuffled once,
+    by (id, hash of text).
     """
     id_key, text_key = fresh(docs, "d_id", "d_text")
     marked = docs.withColumns({id_key: F.coalesce("doc_id", F.lit(-(1 << 63))), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = checkpoint(fingerprints(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle, sized=True))
-    nodes = checkpoint(rows.groupBy("fp").agg(F.min("n").alias("n")))
-    rooted = nodes.join(linked(nodes, bits_for(similarity), wide=True), F.col("fp") == F.col("node"), "left").select("fp", F.coalesce("root", "fp").alias("root"))
+    rows = checkpoint(sketched(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle))
+    rooted = rows.select("lost", "id", "text_hash", "node").join(alike(rows, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
     # Null ids stay only where a group has no others.
-    stays = rows.join(rooted, "fp").groupBy("root").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
+    stays = rooted.groupBy("root").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
     stays = stays.select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
     return marked.join(stays, [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).select(*docs.columns)
