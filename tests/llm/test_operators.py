@@ -327,6 +327,16 @@ def test_secrets(spark, docs, empty, clashing):
     assert all(r.findings == [] for r in secret_scan.scanned(docs).collect() if r.doc_id in (1, 2, 8))
 
 
+def test_secrets_anywhere_in_a_long_run():
+    net, path = secret_scan.generated_network(), "docs/the-mill-and-the-river/notes_of_the_harvest/evening-talk/2/"
+    key = "a8Xk2Lm9Qw3Zr7Tp5Vn1Bc6Dy4Ge0Hj2Ks8U"
+    for n in (1, 2, 7, 200):
+        for text in (f"see {path * n}{key} there", f"see {path * n}{key}/{path * n}end there"):
+            run = text[4:-6]
+            assert secret_scan.findings(["", text], net) == [[], [(4, 3, 4 + len(run))]]
+        assert secret_scan.findings([f"see {path * n}end there"], net) == [[]]
+
+
 def test_pipeline(spark, texts):
     import corpus_pipeline
 

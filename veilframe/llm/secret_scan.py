@@ -2,7 +2,8 @@
 
 Base findings come from three patterns and always stay. Every other run of CANDIDATE
 or more key characters with a letter and a digit is a candidate: the network (a numpy
-convolution over its characters and those around it, with max and mean pooling) scores it. It is
+convolution over its characters and those around it, with max and mean pooling) scores it; of
+a long candidate overlapping windows are scored, and the greatest score counts. It is
 trained on labelled findings, calibrated on others (Platt), and the threshold is the
 highest that keeps RECALL of the secrets of the calibration set. The data has no labels for
 secrets, so the labelled findings are generated from known formats, by a seed; a user with
@@ -73,9 +74,9 @@ def candidates(text: str, taken: list[tuple[int, int, int]]) -> list[tuple[int,
     return out
 
 
-def window(text: str, a: int, b: int) -> list[int]:
-    """Character codes: what stands before, the candidate's start, what stands after."""
-    inside = text[a:b][:INSIDE]
+def window(text: str, a: int, b: int, at: int = 0) -> list[int]:
+    """Character codes: what stands before the candidate, a part of it from at on, what stands after it."""
+    inside = text[a + at : min(b, a + at + INSIDE)]
     parts = ((text[max(0, a - BEFORE) : a], BEFORE, True), (inside, INSIDE, False), (text[b : b + AFTER], AFTER, False))
     out = []
     for part, n, right in parts:
@@ -85,6 +86,13 @@ def window(text: str, a: int, b: int) -> list[int]:
     return out
 
 
+def windows(text: str, a: int, b: int) -> Iterator[list[int]]:
+    """Windows over the whole candidate, each half over the next, the last up to its end."""
+    for at in range(0, b - a - INSIDE, INSIDE // 2):
+        yield window(text, a, b, at)
+    yield window(text, a, b, max(0, b - a - INSIDE))
+
+
 def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     """Generated findings: secrets of known formats, and look-alikes that are none."""
     rng = np.random.default_rng(seed)
@@ -209,18 +217,26 @@ def generated_network() -> Network:
 
 def findings(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
     """(start, kind, end) of all findings of each text, in order."""
-    out, owner, spans, windows = [], [], [], []
+    out, found, owner, some = [], set(), [], []
+
+    def score() -> None:
+        found.update(o for o, p in zip(owner, net.scores(np.array(some)), strict=True) if p >= net.threshold)
+        owner.clear()
+        some.clear()
+
     for i, text in enumerate(texts):
         base = base_findings(text)
         out.append(base)
         for a, b in candidates(text, base):
-            owner.append(i)
-            spans.append((a, 3, b))
-            windows.append(window(text, a, b))
-    if windows:
-        for i, span, p in zip(owner, spans, net.scores(np.array(windows)), strict=True):
-            if p >= net.threshold:
-                out[i].append(span)
+            for w in windows(text, a, b):
+                owner.append((i, a, b))
+                some.append(w)
+                if len(some) == 4096:
+                    score()
+    if some:
+        score()
+    for i, a, b in found:
+        out[i].append((a, 3, b))
     return [sorted(s) for s in out]
 
 
