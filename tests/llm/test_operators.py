@@ -281,6 +281,13 @@ def test_dedup_against_sets(spark):
     assert got == kept_by_sets(rows) and 60 < len(got) < 220
 
 
+def test_dedup_of_repeated_passages(spark):
+    """Sizes are of distinct shingles: a text, and one with it three times over."""
+    base = " ".join(f"w{i}" for i in range(300))
+    df = spark.createDataFrame([(1, base), (2, " ".join([base] * 3) + " more"), (3, base.replace("w", "x"))], "doc_id long, text string")
+    assert sorted(r.doc_id for r in simhash.dedup(df).collect()) == [1, 3]
+
+
 def test_imatch(spark, texts, monkeypatch, docs, empty, clashing):
     monkeypatch.setattr(imatch, "ROWS_PER_RANGE", 17)
     got = {r.doc_id: r for r in imatch.op9_imatch(spark, SF).collect()}
