@@ -195,11 +195,12 @@ def test_golay_keys_miss_no_link():
     for i in range(len(y)):
         for b in rng.choice(64, rng.integers(0, 5), replace=False):
             y[i] ^= np.uint64(1) << np.uint64(b)
-    own = defaultdict(dict)
-    for k, i, s in zip(*simhash.keys(x.view(np.int64), code), strict=True):
-        own[i][int(k)] = s
-    met = {int(i) for k, i, s in zip(*simhash.keys(y.view(np.int64), code), strict=True) if int(k) in own[i] and not (s and own[i][int(k)])}
-    assert len(met) == 2000
+    own, met = defaultdict(set), set()
+    for k, i in zip(*simhash.keys(x.view(np.int64), code), strict=True):
+        assert int(k) not in own[i]
+        own[i].add(int(k))
+    met = {int(i) for k, i in zip(*simhash.keys(y.view(np.int64), code), strict=True) if int(k) in own[i]}
+    assert len(met) == 2000 and 150 < np.mean([len(v) for v in own.values()]) < 220
 
 
 def test_components_of_dense_groups(spark):
@@ -288,35 +289,76 @@ def test_dedup_of_repeated_passages(spark):
     assert sorted(r.doc_id for r in simhash.dedup(df).collect()) == [1, 3]
 
 
+def imatch_brute(texts):
+    """Subset hashes of each text and, by likeness, of two such lists; texts: all of the corpus."""
+    import xxhash
+
+    def long(data, seed=42):
+        h = xxhash.xxh64_intdigest(data, seed)
+        return h - (1 << 64) if h >> 63 else h
+
+    terms = lambda t: {long(w.encode()) for w in re.findall(r"[^\x20\x09-\x0D]+", t.lower())}
+    df = Counter(h for t in texts for h in terms(t))
+    band = {h for h, n in df.items() if max(2, -(-3 * len(texts) // 1000)) <= n <= len(texts) // 5}
+
+    def pieces(text):
+        out, shift, kept = [], 0, terms(text) & band
+        for bits, rounds, used in imatch.SCALES:
+            slots = {}
+            for r in range(rounds):
+                dealt = sorted((((h >> shift) & ((1 << bits) - 1)) << 57 | h & ((1 << 57) - 1)) for h in kept)
+                for x in dealt:
+                    if x >> 57 < used:
+                        slots[r * used + (x >> 57)] = long(struct.pack("<q", x), slots.get(r * used + (x >> 57), 42) & ((1 << 64) - 1))
+                shift += bits
+            out.append({k: h & 0xFFFF for k, h in slots.items()})
+        return out
+
+    def likeness(a, b):
+        if a == b:
+            return 1.0
+        for k in (2, 1, 0):
+            used = a[k].keys() | b[k].keys()
+            if len(used) >= (imatch.MIN_SUBSETS if k else 1):
+                return sum(a[k].get(i) == b[k].get(i) for i in used) / len(used)
+        return 0.0
+
+    return pieces, likeness
+
+
 def test_imatch(spark, texts, monkeypatch, docs, empty, clashing):
     monkeypatch.setattr(imatch, "ROWS_PER_RANGE", 17)
     got = {r.doc_id: r for r in imatch.op9_imatch(spark, SF).collect()}
     order = sorted(texts, reverse=True)
+    pieces, likeness = imatch_brute(texts.values())
     for at, i in enumerate(order):
         t, after = texts[i], texts[order[(at + 1) % len(order)]]
         k = len(t) // 3
-        assert got[i].edited_sha256 == hashlib.sha256((t[: len(t) - k] + after[:k]).encode()).hexdigest()
+        edited = t[: len(t) - k] + after[:k]
+        assert got[i].edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert got[i].n_chars == len(t)
-    same = defaultdict(set)
-    for i, t in texts.items():
-        same[t].add(got[i].fingerprint)
-    assert all(len(s) == 1 for s in same.values())
+        own, other, follows = pieces(t), pieces(edited), pieces(after)
+        for fp, shown in ((own, got[i].fingerprint), (other, got[i].edited_fingerprint)):
+            assert shown == "-".join("".join(f"{k << 16 | h:06x}" for k, h in sorted(s.items())) for s in fp)
+        assert abs(got[i].near_edited - likeness(own, other)) < 1e-12 and abs(got[i].near_next - likeness(own, follows)) < 1e-12
     assert np.mean([r.near_edited > r.near_next for r in got.values()]) > 0.9
-    # The pieces themselves, from terms in Python.
-    terms = {i: set(re.findall(r"[^\x20\x09-\x0D]+", t.lower())) for i, t in texts.items()}
-    df = Counter(w for s in terms.values() for w in s)
-    band = {w for w, n in df.items() if max(2, -(-len(texts) // 100)) <= n <= int(imatch.HIGH * len(texts))}
-    for i, s in terms.items():
-        kept = s & band if len(s & band) >= imatch.MIN_TERMS else s
-        hashes = [h - (1 << 64) if h >> 63 else h for h in (__import__("xxhash").xxh64_intdigest(w.encode(), 42) for w in kept)]
-        parts, shift = [], 0
-        for bits, rounds, used in imatch.SCALES:
-            for _ in range(rounds):
-                parts += [any((h >> shift) & ((1 << bits) - 1) == j for h in hashes) for j in range(used)]
-                shift += bits
-        assert [got[i].fingerprint[4 * k : 4 * k + 4] != "----" for k in range(len(parts))] == parts
-    assert imatch.fingerprinted(docs).count() == 9 and imatch.fingerprinted(clashing).count() == 9
-    assert imatch.fingerprints(empty).count() == 0
+    assert imatch.fingerprints(empty).count() == 0 and imatch.fingerprinted(empty).count() == 0
+
+
+def test_imatch_edges(spark, monkeypatch, docs, clashing):
+    """Null, equal and hot ids, repeated rows; many ranges over few rows."""
+    import xxhash
+
+    monkeypatch.setattr(imatch, "ROWS_PER_RANGE", 2)
+    more = [(5, f"hot {i} " * (i + 1), "en", "a", 1) for i in range(25)] + [(None, f"lost {i}", "en", "a", 1) for i in range(9)]
+    both = docs.union(spark.createDataFrame(more, docs.schema))
+    tie = lambda t: (h - (1 << 64)) if (h := xxhash.xxh64_intdigest(t.encode(), 42)) >> 63 else h
+    for df in (docs, clashing.select(*docs.columns), both):
+        rows = [(r.doc_id, r.text or "") for r in df.collect()]
+        order = sorted(set(rows), key=lambda r: (r[0] is not None, r[0] or 0, tie(r[1])), reverse=True)
+        after = {r: order[(i + 1) % len(order)][1] for i, r in enumerate(order)}
+        want = Counter((i, hashlib.sha256((t[: len(t) - len(t) // 3] + after[i, t][: len(t) // 3]).encode()).hexdigest()) for i, t in rows)
+        assert Counter((r.doc_id, r.edited_sha256) for r in imatch.fingerprinted(df).collect()) == want
 
 
 def test_secrets(spark, docs, empty, clashing):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from pathlib import Path
 
@@ -19,19 +20,31 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
+def checkpoint(df: DataFrame, wide: bool = False) -> DataFrame:
     """Writes df to the shared checkpoint folder and cuts its lineage.
 
-    What is written here is narrow (ids, hashes, counts), so two files a core are enough;
-    each file costs the file system several calls. The folder is spark.checkpoint.dir; only where that is unset (tests) a local
-    temporary folder takes its place.
+    The stage that makes df runs in as many tasks as its input has parts. Narrow rows (ids,
+    hashes, counts) are then dealt anew, so that files are sized by bytes and their number
+    follows the rows; wide ones (texts, sets) stay as they were dealt. The folder is
+    spark.checkpoint.dir; where that is unset, a local master (tests) takes a temporary
+    folder, and a cluster has none, which is an error.
     """
     spark = df.sparkSession
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         shared = context.getConf().get("spark.checkpoint.dir", "") or spark.conf.get("spark.checkpoint.dir", "")
+        if not shared and not re.fullmatch(r"local(\[.*\])?", context.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         context.setCheckpointDir(shared or tempfile.mkdtemp(prefix="veilframe-"))
-    return df.coalesce(2 * context.defaultParallelism).checkpoint()
+    return (df if wide else df.hint("rebalance")).checkpoint()
+
+
+def forget(df: DataFrame) -> None:
+    """Deletes the files of a frame that checkpoint() gave; it can't be read any more."""
+    at = df._jdf.queryExecution().analyzed().rdd().getCheckpointFile()
+    if at.isDefined():
+        folder = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at.get())
+        folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def held(df: DataFrame) -> DataFrame:

@@ -7,15 +7,20 @@ bits or fewer; the codeword of x alone lies in K(y) if they differ in one.
 
 Four errors over three segments leave these cases:
 - a segment without error, and one of the others with two errors at most: the key is the
-  segment itself and a codeword of K of another;
-- no segment without error, then two segments with exactly one: the key is the pair of
-  codewords of those segments; one side gives its own pair, the other all of K x K.
-So no link is missed, and every candidate is verified on the fingerprints.
+  segment itself and a codeword of K of another (33 or 34 bits);
+- no segment without error, then two segments with exactly one and a third with two at
+  most: the key is a codeword of each (36 bits). Of the first two, each side gives its own
+  codeword in one and all of K in the other, in both ways, so x's own meets y's K and y's
+  own x's K; of the third both give all of K.
+So no link is missed, and every candidate is verified on the fingerprints. A fingerprint
+has some 185 keys; keys are wide enough that chance meetings stay few: at 10^10
+fingerprints about one other in a bucket.
 
 Equal fingerprints are one row before keys are made, so copies never meet each other. In
 a bucket all are compared to the least fingerprint, then to the least of those not linked
 to it, and then every two that are still in different components to each other; a bucket
-of near copies thus gives as many rows as it has members, not their pairs.
+of near copies thus gives as many rows as it has members, not their pairs. Results go back
+to the documents by a join on the fingerprint, whose hot keys Spark may split.
 
 Defined results: null or empty texts have fingerprint zero and are linked like any other;
 a null id never is the least unless all of a component are null; repeated rows get equal
@@ -43,6 +48,8 @@ STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 #: Of the least hashes of a set of shingles, one band in BANDS of BAND hashes must agree:
 #: at a similarity of 0.8 it does for all but 1 in 20,000 pairs, (1 - 0.8 ** 5) ** 25.
 BANDS, BAND = 25, 5
+#: Fingerprints whose keys one task makes.
+FPS_A_TASK = 100_000
 #: Star rounds after the first before the rest of a bucket meets pair by pair.
 ROUNDS = 2
 BLOCK = 1 << 15
@@ -117,46 +124,51 @@ class Golay:
         return found
 
 
-def keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Bucket keys, the row of fps that each is of, and whether it only seeks."""
+def products(*lists: tuple[np.ndarray, np.ndarray], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and packed codewords (12 bits each) of all combinations inside each row.
+
+    A list holds (row, codeword) pairs, sorted by row.
+    """
+    rows, words = lists[0]
+    for r, w in lists[1:]:
+        size = np.bincount(r, minlength=n)
+        first, times = np.cumsum(size) - size, size[rows]
+        more = np.repeat(rows, times)
+        nth = np.arange(len(more)) - np.repeat(np.cumsum(times) - times, times)
+        words, rows = np.repeat(words, times) << 12 | w[first[more] + nth], more
+    return rows, words
+
+
+def keys(fps: np.ndarray, code: Golay) -> tuple[np.ndarray, np.ndarray]:
+    """Bucket keys, and the row of fps that each is of; a row has no key twice."""
     x = fps.view(np.uint64)
     part = [((x >> np.uint64(s)) & np.uint64((1 << n) - 1)).astype(np.int64) for s, n in SEGMENTS]
-    own = [code.decode(p) for p in part]
-    near = [code.around(p, n) for p, (_, n) in zip(part, SEGMENTS, strict=True)]
-    lists = []  # K without the repeats, as (row, codeword)
-    for k in near:
+    every = np.arange(len(x))
+    own = [(every, code.decode(p)) for p in part]
+    near, rest = [], []  # K as (row, codeword), and K without the own codeword
+    for p, (_, n), (_, mine) in zip(part, SEGMENTS, own, strict=True):
+        k = code.around(p, n)
         r, c = np.nonzero(k >= 0)
-        lists.append((r, k[r, c]))
-    out, rows, seek = [], [], []
+        near.append((r, k[r, c]))
+        other = k[r, c] != mine[r]
+        rest.append((r[other], k[r, c][other]))
+    out, rows = [], []
     for a in range(3):
         for b in range(3):
             if a != b:
-                r, w = lists[b]
-                out.append((np.int64(3 * a + b) << 34) | part[a][r] << 12 | w)
+                r, w = near[b]
+                out.append(np.int64(3 * a + b) << 36 | part[a][r] << 12 | w)
                 rows.append(r)
-                seek.append(np.zeros(len(r), dtype=bool))
-    for a, b in ((0, 1), (0, 2), (1, 2)):
-        tag = np.int64(9 + a + b) << 34
-        mine = tag | own[a] << 12 | own[b]
-        out.append(mine)
-        rows.append(np.arange(len(x)))
-        seek.append(np.zeros(len(x), dtype=bool))
-        size = np.bincount(lists[b][0], minlength=len(x))
-        first = np.cumsum(size) - size
-        r, w = lists[a]
-        times = size[r]
-        r2, w2 = np.repeat(r, times), np.repeat(w, times)
-        offset = np.arange(len(r2)) - np.repeat(np.cumsum(times) - times, times)
-        k = tag | w2 << 12 | lists[b][1][first[r2] + offset]
-        other = k != mine[r2]
-        out.append(k[other])
-        rows.append(r2[other])
-        seek.append(np.ones(int(other.sum()), dtype=bool))
-    return np.concatenate(out), np.concatenate(rows), np.concatenate(seek)
+    for a, b, c in ((0, 1, 2), (0, 2, 1), (1, 2, 0)):
+        for first, second in ((own[a], near[b]), (rest[a], own[b])):
+            r, w = products(first, second, near[c], n=len(x))
+            out.append(np.int64(9 + c) << 36 | w)
+            rows.append(r)
+    return np.concatenate(out), np.concatenate(rows)
 
 
 def keyed(nodes: DataFrame) -> DataFrame:
-    """(key, fp, seeks) of each node."""
+    """(key, fp) of each node."""
     at = nodes.columns.index("fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,34 +176,32 @@ def keyed(nodes: DataFrame) -> DataFrame:
         for batch in batches:
             for i in range(0, batch.num_rows, 1024):
                 fps = np.ascontiguousarray(batch.slice(i, 1024).column(at).to_numpy(zero_copy_only=False))
-                k, r, s = keys(fps, code)
-                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[r]), pa.array(s)], names=["key", "fp", "seeks"])
+                k, r = keys(fps, code)
+                yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[r])], names=["key", "fp"])
 
-    return nodes.mapInArrow(run, "key long, fp long, seeks boolean")
+    return nodes.mapInArrow(run, "key long, fp long")
 
 
 def linked(nodes: DataFrame, limit: int = MAX_BITS) -> DataFrame:
     """(node, root) of the components of distinct fps, for those with a link: at most limit bits differ."""
     bucket = Window.partitionBy("key")
     close = lambda a, b: F.bit_count(F.col(a).bitwiseXOR(F.col(b))) <= limit
-    rows = keyed(nodes).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min(F.when(~F.col("seeks"), F.col("fp"))).over(bucket)})
-    # A bucket in which all seek, or with one member, holds no candidates.
-    rows = rows.where("n > 1 and held is not null").withColumn("tied", close("fp", "held"))
+    rows = keyed(nodes).withColumns({"n": F.count(F.lit(1)).over(bucket), "held": F.min("fp").over(bucket)})
+    rows = rows.where("n > 1").withColumn("tied", close("fp", "held"))  # a bucket with one member holds no candidates
     rows = rows.withColumn("open", F.sum((~F.col("tied")).cast("long")).over(bucket))
     # Of the rest of a bucket, pairs are due only if there are two, one not yet tied.
-    rows = held_on_disk(rows.where("fp <> held and (tied or (open > 0 and n > 2))").selectExpr("key", "fp", "seeks", "held", "tied", "open > 0 and n > 2 as due"))
+    rows = held_on_disk(rows.where("fp <> held and (tied or (open > 0 and n > 2))").selectExpr("key", "fp", "held", "tied", "open > 0 and n > 2 as due"))
     links = rows.where("tied").select(F.col("fp").alias("u"), F.col("held").alias("v"))
     rest = rows.where("due").withColumn("held", F.min(F.when(~F.col("tied"), F.col("fp"))).over(bucket)).where("held is not null")
-    rest = held_on_disk(rest.where("fp <> held").withColumn("near", close("fp", "held")).select("key", "fp", "seeks", "held", "near"))
+    rest = held_on_disk(rest.where("fp <> held").withColumn("near", close("fp", "held")).select("key", "fp", "held", "near"))
     links = links.union(rest.where("near").select("fp", "held"))
     found = checkpoint(components(starred(links)))  # a node has few links of its own, one a key
-    last = rest.join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", "seeks", F.coalesce("root", "fp").alias("root"))
+    last = rest.join(found, F.col("fp") == F.col("node"), "left").select("key", "fp", F.coalesce("root", "fp").alias("root"))
     # Both least ones have met all; the others meet wherever their components differ.
     last = last.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)})
-    last = held_on_disk(last.where("low < high").select("key", "fp", "seeks", "root"))
-    a, b = last.toDF("key", "u", "s", "ru"), last.toDF("key", "v", "t", "rv")
-    apart = (F.col("ru") < F.col("rv")) & ~(F.col("s") & F.col("t"))
-    more = checkpoint(a.join(b, "key").where(apart & close("u", "v")).select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
+    last = held_on_disk(last.where("low < high").select("key", "fp", "root"))
+    a, b = last.toDF("key", "u", "ru"), last.toDF("key", "v", "rv")
+    more = checkpoint(a.join(b, "key").where((F.col("ru") < F.col("rv")) & close("u", "v")).select(F.col("ru").alias("u"), F.col("rv").alias("v")).distinct())
     for df in (last, rest, rows):
         df.unpersist()
     if more.isEmpty():
@@ -206,7 +216,9 @@ def linked(nodes: DataFrame, limit: int = MAX_BITS) -> DataFrame:
 def grouped(rows: DataFrame) -> DataFrame:
     """fp and component_id (least doc_id) for each distinct fp of rows (doc_id, fp)."""
     fps = checkpoint(rows.groupBy("fp").agg(F.min("doc_id").alias("least")))
-    found = linked(fps.select("fp"))
+    # Each gives some 185 keys, so a task gets few of them; the number of tasks follows theirs.
+    parts = max(fps.sparkSession.sparkContext.defaultParallelism, fps.count() // FPS_A_TASK)
+    found = linked(fps.select("fp").repartition(parts))
     rooted = fps.join(found, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     ids = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     return rooted.join(ids, "root").select("fp", "component_id")
@@ -267,28 +279,29 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 def alike(rows: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the components of nodes (of sketched rows), for those with a link.
 
-    In a bucket all are compared to the least node, then ROUNDS times to the least of those
-    in other components than the last one compared to, then every two still in different
-    components. Sizes alone exclude pairs whose sizes differ by more than the similarity.
+    In a bucket all are compared to one member, its hub, ROUNDS + 1 times to another of those
+    in other components, then every two still in different components. Sizes alone exclude
+    pairs whose sizes differ by more than the similarity. Hubs come from sums that are made
+    before the shuffle and are joined back, so that a hot bucket can be split.
     """
-    bucket = Window.partitionBy("key")
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    members = nodes.select("node", "n", F.explode("keys").alias("key")).withColumn("size", F.count(F.lit(1)).over(bucket))
-    members = held_on_disk(members.where("size > 1").select("key", "node", "n"))
-    sets = checkpoint(rows.select("node", "held").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]))
+    members = nodes.select("node", "n", F.explode("keys").alias("key"))
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
+    members = held_on_disk(members.join(shared, "key").select("key", "node", "n"))
+    sets = checkpoint(rows.select("node", "held").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), wide=True)
     links = found = None
     for left in range(ROUNDS, -2, -1):
-        if found is None:
-            now = members.withColumn("root", F.col("node"))
-        else:
+        now = members.withColumn("root", F.col("node"))
+        if found is not None:
             now = members.join(found.toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-            now = now.withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket)}).where("low < high").drop("low", "high")
+        hub = F.min(F.struct(F.xxhash64("node", F.lit(left)), "node", "n", "root")).alias("hub")
+        hubs = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low < high").select("key", "hub")
+        now = now.join(hubs, "key")
         if left >= 0:
-            now = now.withColumn("hub", F.min(F.struct(F.xxhash64("node", F.lit(left)), "node", "n", "root")).over(bucket))
             pairs = now.where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
         else:
-            a, b = now.toDF("key", "u", "n1", "ru"), now.toDF("key", "v", "n2", "rv")
+            a, b = now.drop("hub").toDF("key", "u", "n1", "ru"), now.drop("hub").toDF("key", "v", "n2", "rv")
             pairs = a.join(b, (a.key == b.key) & (F.col("ru") < F.col("rv")) & fits(F.col("n1"), F.col("n2"))).select("u", "v")
         more = checkpoint(similar(pairs.distinct(), sets, similarity))
         links = more if links is None else links.union(more)
@@ -302,14 +315,15 @@ def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STA
     """One row of docs for each group of near-duplicates: that with the least doc_id.
 
     Texts link if their sets of shingles have the Jaccard similarity or more: bands of least
-    hashes find the candidates, and each is verified on the sets. The text is shuffled once,
-    by (id, hash of text).
+    hashes find the candidates, and each is verified on the sets. Copies are one row before
+    any join on their set. The text is shuffled once, by (id, hash of text).
     """
     id_key, text_key = fresh(docs, "d_id", "d_text")
     marked = docs.withColumns({id_key: F.coalesce("doc_id", F.lit(-(1 << 63))), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = checkpoint(sketched(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle))
-    rooted = rows.select("lost", "id", "text_hash", "node").join(alike(rows, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    rows = checkpoint(sketched(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle), wide=True)
     # Null ids stay only where a group has no others.
-    stays = rooted.groupBy("root").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
+    least = rows.groupBy("node").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
+    rooted = least.join(alike(rows, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    stays = rooted.groupBy("root").agg(F.min("s").alias("s"))
     stays = stays.select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
     return marked.join(stays, [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).select(*docs.columns)
