@@ -50,8 +50,28 @@ def test_shards(docs, empty, clashing):
     assert sharding.assign(empty).count() == 0 and sharding.assign(clashing).count() == 9
 
 
+def test_shards_of_cut_cells(docs, monkeypatch):
+    monkeypatch.setattr(sharding, "CELL_ROWS", 2)
+    rows = sharding.assign(docs.union(docs.where("doc_id = 7")), 3).collect()
+    assert sorted((r.shard, r.slot) for r in rows) == sorted((s, i) for s, n in Counter(r.shard for r in rows).items() for i in range(n))
+    assert len(rows) == 10 and [r.curve for r in sorted(rows, key=lambda r: (r.shard, r.slot))] == sorted(r.curve for r in rows)
+
+
+def test_written_shards(spark, docs, clashing, tmp_path):
+    """Every row once, null and repeated ids too; boxes hold their rows."""
+    for i, df in enumerate((docs, clashing)):
+        path = str(tmp_path / str(i))
+        boxes = {r.shard: r for r in sharding.write_shards(df, path, 3).collect()}
+        back = spark.read.parquet(path)
+        key = lambda r: tuple(str(r[c]) for c in df.columns)
+        assert sorted(map(key, back.collect())) == sorted(map(key, df.collect()))
+        assert {s: b["rows"] for s, b in boxes.items()} == {0: 3, 1: 3, 2: 3}
+        assert all(b.min_doc_id is None or b.min_doc_id <= r.doc_id <= b.max_doc_id for r in back.where("doc_id is not null").collect() for b in [boxes[r.shard]])
+
+
 def test_quality_edges(docs, empty, clashing):
-    df, name = quality.judged(docs)
+    measures = quality.measured(docs)
+    df, name = quality.judged(*measures, quality.references(*measures))
     got = {r.doc_id: r for r in df.collect()}
     assert got[1][name["n_words"]] == 0 and got[1][name["base_failed"]] and not got[1][name["kept"]]
     assert got[8][name["n_words"]] == 0 and got[3][name["n_words"]] == 30_000

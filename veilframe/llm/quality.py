@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, table, words
+from .common import checkpoint, fresh, table, words
 
 MIN_WORDS = 50
 #: Guards: a histogram with fewer characters or words than these is not judged.
@@ -112,9 +112,11 @@ def measured(docs: DataFrame, prefix: str = "q_") -> tuple[DataFrame, dict[str,
     return df.drop(name["text"], name["words"], *left[1:]), name
 
 
-def references(docs: DataFrame) -> dict[str | None, tuple[list[int], list[int]]]:
-    """For each known language, and None for all: summed shares of characters, words."""
-    df, name = measured(docs.select("text", "lang"))
+def references(df: DataFrame, name: dict[str, str]) -> dict[str | None, tuple[list[int], list[int]]]:
+    """For each known language, and None for all: summed shares of characters, words.
+
+    df, name: as measured() gives them; only the histograms are computed for this.
+    """
     total = F.aggregate(name["chars"], F.lit(0).cast("long"), lambda a, x: a + x)
     lang = F.when(F.col("lang").isin(*COMMON_WORDS), F.col("lang"))
     df = df.where((F.col(name["n_words"]) >= MIN_WORDS) & (F.col(name["mark"]) >= 0)).select(lang.alias("l"), name["chars"], name["common"], name["n_words"], total.alias("t"))
@@ -139,12 +141,10 @@ def distance(counts: Column, total: Column, reference: list[int]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, x: a + x) / F.lit(1.3862943611198906), F.lit(0.0)))
 
 
-def judged(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
-    """docs with the counts, base_failed, kept and both distances."""
-    refs = references(docs)
-    df, name = measured(docs)
+def judged(df: DataFrame, name: dict[str, str], refs: dict) -> tuple[DataFrame, dict[str, str]]:
+    """A measured frame with base_failed, kept and both distances."""
     extra = dict(zip(("base_failed", "kept", "char_distance", "word_distance"), fresh(df, "q_base_failed", "q_kept", "q_char_distance", "q_word_distance"), strict=True))
-    name |= extra
+    name = name | extra
     n, chars, common = F.col(name["n_words"]), F.col(name["chars"]), F.col(name["common"])
     total = F.aggregate(chars, F.lit(0).cast("long"), lambda a, x: a + x)
     by_char = distance(chars, total, refs[None][0]) if None in refs else F.lit(0.0)
@@ -165,13 +165,19 @@ def judged(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    """Rows of docs that pass the base rules and both distances, columns unchanged."""
-    df, name = judged(docs)
+    """Rows of docs that pass the base rules and both distances, columns unchanged.
+
+    The texts are read twice: for the references' histograms, then for the verdicts.
+    """
+    refs = references(*measured(docs.select("text", "lang")))
+    df, name = judged(*measured(docs), refs)
     return df.where(F.col(name["kept"]) & (F.col(name["mark"]) >= 0)).select(*(df[c] for c in docs.columns))
 
 
 def op2_quality_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    df, name = judged(table(spark, sf_dir, "documents"))
+    df, name = measured(table(spark, sf_dir, "documents").select("doc_id", "lang", "text"))
+    df = checkpoint(df.drop("text"))  # some forty integers a document, so the texts are read once
+    df, name = judged(df, name, references(df, name))
     out = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
     return df.select("doc_id", *(F.col(name[c]).alias(c) for c in out))
 

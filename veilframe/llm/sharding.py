@@ -6,11 +6,12 @@ runs; each run covers a compact box of the metadata space, so a reader that filt
 any of the dimensions skips most files. Law: ``rows``; the runs' lengths differ by one
 at most.
 
-The global rank needs no global sort in one task: rows are counted by (curve index,
-sub-bucket of the id), the counts are summed first over 1,024 stretches of the curve
-and then inside each stretch, and a row adds its rank inside its own small bucket. Only
-five narrow columns are shuffled, never the text; they are written once to the
-checkpoint folder, so the text is read once.
+The global rank needs no global sort in one task: equal rows become one with their number,
+rows are counted by cell of the curve, a cell of many rows is cut into sub-buckets of some
+CELL_ROWS by a hash, the counts are summed first over 2 ** STRETCH_BITS stretches of the
+curve and then inside each stretch, and a row adds its rank inside its own sub-bucket. Only
+narrow columns are shuffled, never the text; they are written once to the checkpoint
+folder, so the text is read once.
 
 Defined results: null language, source or id takes the lowest level of its dimension
 and sorts first; null text has size 1 and checksum 0; equal rows are interchangeable and
@@ -24,12 +25,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, table
+from .common import checkpoint, fresh, table
 
 DIMS, BITS = 4, 5
 STATE_BITS = DIMS + 2
-SUB_BITS = 6
-STRETCH_BITS = 10
+#: Rows of a cell that one sub-bucket is meant to hold.
+CELL_ROWS = 1 << 16
+STRETCH_BITS = 14
 N_SHARDS = 8
 LEVELS = (1 << BITS) - 2  # levels 1 .. LEVELS + 1; 0 is for null
 
@@ -108,62 +110,82 @@ def _string_level(column: str, low: str | None, high: str | None) -> Column:
     return _level(_bytes_value(F.col(column), skip), value(low), value(high))
 
 
-def _placed(docs: DataFrame) -> tuple[DataFrame, int]:
-    """Narrow rows with curve index and sub-bucket, and their number."""
+def _levels(docs: DataFrame) -> tuple[DataFrame, int]:
+    """docs with size, text_crc32 and curve, and their number."""
     at = docs.agg(
         F.count(F.lit(1)).alias("n"),
         *(f(c).alias(f"{k}_{c}") for c in ("lang", "source", "doc_id") for k, f in (("lo", F.min), ("hi", F.max))),
     ).first()
+    names = fresh(docs, "size", "text_crc32", "curve")
     size = F.octet_length(F.coalesce("text", F.lit(""))).cast("long") + 1
-    narrow = docs.select("doc_id", size.alias("size"), F.crc32(F.coalesce("text", F.lit(""))).alias("text_crc32"), "lang", "source")
     levels = [
         _string_level("lang", at.lo_lang, at.hi_lang),
         _string_level("source", at.lo_source, at.hi_source),
-        F.least(F.length(F.bin("size")) - 1, F.lit((1 << BITS) - 1)),
+        F.least(F.length(F.bin(size)) - 1, F.lit((1 << BITS) - 1)),
         _level(F.col("doc_id").cast("double"), at.lo_doc_id or 0, at.hi_doc_id or 0),
     ]
-    mixed = (F.coalesce("doc_id", F.lit(0)).bitwiseAND(F.lit(0x3FFFFFFF)) * F.lit(1640531527)).bitwiseAND(F.lit(0x3FFFFFFF))
-    placed = narrow.select(
-        "doc_id", "size", "text_crc32", curve_index(levels).alias("curve"), F.shiftright(mixed, 30 - SUB_BITS).cast("int").alias("sub")
-    )
-    return checkpoint(placed), at.n
+    return docs.withColumns(dict(zip(names, (size, F.crc32(F.coalesce("text", F.lit(""))), curve_index(levels)), strict=True))), at.n
 
 
-def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
-    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve of every row."""
-    rows, n = _placed(docs)
-    counts = rows.groupBy("curve", "sub").agg(F.count(F.lit(1)).alias("c")).withColumn("stretch", F.shiftright("curve", DIMS * BITS - STRETCH_BITS))
-    # At most 2 ** STRETCH_BITS rows, whatever the input.
+KEY = ["doc_id", "size", "text_crc32", "curve"]
+
+
+def _ranked(docs: DataFrame) -> tuple[DataFrame, int]:
+    """Distinct KEY rows with their number c and the place `at` of the first; the number of docs."""
+    df, n = _levels(docs.select("doc_id", "text", "lang", "source"))
+    rows = checkpoint(df.groupBy(*KEY).agg(F.count(F.lit(1)).alias("c")))
+    # A row a cell: at most 2 ** (DIMS * BITS), about a million, whatever the input.
+    cells = rows.groupBy("curve").agg(F.ceil(F.count(F.lit(1)) / CELL_ROWS).alias("subs"))
+    rows = rows.join(F.broadcast(cells), "curve").withColumn("sub", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.col("subs"))).drop("subs")
+    counts = rows.groupBy("curve", "sub").agg(F.sum("c").alias("c")).withColumn("stretch", F.shiftright("curve", DIMS * BITS - STRETCH_BITS))
+    # At most 2 ** STRETCH_BITS rows.
     stretches = counts.groupBy("stretch").agg(F.sum("c").alias("c"))
     before = stretches.select("stretch", (F.sum("c").over(Window.orderBy("stretch")) - F.col("c")).alias("base"))
     running = F.sum("c").over(Window.partitionBy("stretch").orderBy("curve", "sub").rowsBetween(Window.unboundedPreceding, 0))
     offsets = counts.withColumn("run", running - F.col("c")).join(F.broadcast(before), "stretch").select("curve", "sub", (F.col("run") + F.col("base")).alias("start"))
-    rank = F.row_number().over(Window.partitionBy("curve", "sub").orderBy("doc_id", "text_crc32", "size"))
-    at = rows.withColumn("rank", rank).join(offsets, ["curve", "sub"]).withColumn("at", F.col("start") + F.col("rank") - 1)
-    total = max(n, 1)
-    shard = F.expr(f"cast((({n_shards} * (at + 1)) - 1) div {total} as int)")
-    at = at.withColumn("shard", shard)
-    return at.select(
-        "doc_id",
-        "size",
-        "text_crc32",
-        F.lit("rows").alias("law"),
-        "shard",
-        (F.col("at") - F.expr(f"(cast(shard as bigint) * {total}) div {n_shards}")).alias("slot"),
-        F.lit(None).cast("int").alias("grown_shard"),
-        "curve",
-    )
+    upto = F.sum("c").over(Window.partitionBy("curve", "sub").orderBy("doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, 0))
+    at = rows.withColumn("upto", upto - F.col("c")).join(offsets, ["curve", "sub"])
+    return at.select(*KEY, "c", (F.col("start") + F.col("upto")).alias("at")), n
+
+
+def _sharded(at: Column, n: int, n_shards: int) -> tuple[Column, Column]:
+    """Shard and slot of the place `at` among n."""
+    total = F.lit(max(n, 1)).cast("long")
+    shard = F.call_function("div", n_shards * (at + 1) - 1, total).cast("int")
+    return shard, at - F.call_function("div", shard.cast("long") * total, F.lit(n_shards).cast("long"))
+
+
+def assign(docs: DataFrame, n_shards: int = N_SHARDS) -> DataFrame:
+    """doc_id, size, text_crc32, law, shard, slot, grown_shard, curve of every row."""
+    rows, n = _ranked(docs)
+    nth = F.explode(F.sequence(F.lit(0).cast("long"), F.col("c") - 1))
+    rows = rows.select(*KEY, "at", nth.alias("nth")).withColumn("at", F.col("at") + F.col("nth"))
+    shard, slot = _sharded(F.col("at"), n, n_shards)
+    return rows.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), shard.alias("shard"), slot.alias("slot"), F.lit(None).cast("int").alias("grown_shard"), "curve")
 
 
 def write_shards(docs: DataFrame, path: str, n_shards: int = N_SHARDS, files_per_shard: int = 1) -> DataFrame:
     """Writes whole documents to path/shard=N, in curve order; returns shard boxes.
 
-    doc_id must identify a document here; the boxes hold the least and greatest
-    value of each dimension for file pruning.
+    Every row of docs is written once, with all its columns (a column named shard as shard
+    of the input: _shard); the boxes hold the least and greatest value of each dimension
+    for file pruning.
     """
-    placed = docs.join(assign(docs, n_shards).select("doc_id", "shard", "slot", "curve"), "doc_id")
-    parts = placed.repartitionByRange(n_shards * files_per_shard, "shard", "slot").sortWithinPartitions("shard", "slot")
-    parts.write.partitionBy("shard").parquet(path)
+    df, _ = _levels(docs)
+    own = dict(zip(KEY[1:], df.columns[len(docs.columns) :], strict=True)) | {"doc_id": "doc_id"}
+    ranked, n = _ranked(docs)
+    names = fresh(df, "r_doc_id", "r_size", "r_text_crc32", "r_curve", "r_c", "r_at", "r_nth")
+    ranked = ranked.toDF(*names[:6])
+    same = [df[own[k]].eqNullSafe(ranked[r]) for k, r in zip(KEY, names, strict=False)]
+    # Equal rows take the places from `at` on, in any order.
+    nth = F.row_number().over(Window.partitionBy(*names[:4]).orderBy(names[5])) - 1
+    at = F.col(names[5]) + F.col(names[6])
+    shard, slot = _sharded(at, n, n_shards)
+    given = {c: "_" + c for c in docs.columns if c.lower() == "shard"}
+    df = df.join(ranked, same[0] & same[1] & same[2] & same[3]).withColumn(names[6], nth)
+    placed = df.select(*(F.col(c).alias(given.get(c, c)) for c in docs.columns), shard.alias("shard"), slot.alias(names[6]))
+    parts = placed.repartitionByRange(n_shards * files_per_shard, "shard", names[6]).sortWithinPartitions("shard", names[6])
+    parts.drop(names[6]).write.partitionBy("shard").parquet(path)
     size = F.octet_length(F.coalesce("text", F.lit("")))
     return (
         docs.sparkSession.read.parquet(path)
@@ -177,13 +199,14 @@ def op1_hilbert_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle() -> str:
-    """The same shards in DuckDB; the checksum runs over bytes by its lookup table."""
+    """The same shards in DuckDB while no cell holds over CELL_ROWS distinct rows; the checksum
+    runs over bytes by its lookup table."""
     crc = []
     for i in range(256):
         for _ in range(8):
             i = (i >> 1) ^ (0xEDB88320 if i & 1 else 0)
         crc.append(i)
-    steps, mask, sub = curve_table(), (1 << STATE_BITS) - 1, 0x3FFFFFFF
+    steps, mask = curve_table(), (1 << STATE_BITS) - 1
     text = lambda c: f"coalesce(cast(('0x' || left(rpad(hex(encode(substr({c}, k_{c} + 1, 4))), 8, '0'), 8)) as bigint), 0)"
     end = lambda c, m: f"cast(('0x' || left(rpad(hex(encode(substr({m}_{c}, k_{c} + 1, 4))), 8, '0'), 8)) as bigint)"
     prefix = lambda c: f"(select max(i) from range(0, 200) t(i) where left(lo_{c}, i) = left(hi_{c}, i) and i <= least(length(lo_{c}), length(hi_{c})))"
@@ -207,11 +230,10 @@ levels AS (
   FROM sized, skips),
 walked AS (
   SELECT *, list_reduce([{', '.join(map(str, range(BITS - 1, -1, -1)))}],
-    lambda acc, i: ((acc >> {STATE_BITS}) << {DIMS + STATE_BITS}) + ({steps}::BIGINT[])[((acc & {mask}) << {DIMS}) + {corner} + 1], CAST(0 AS BIGINT)) >> {STATE_BITS} AS curve,
-    (((coalesce(doc_id, 0) & {sub}) * 1640531527) & {sub}) >> {30 - SUB_BITS} AS sub
+    lambda acc, i: ((acc >> {STATE_BITS}) << {DIMS + STATE_BITS}) + ({steps}::BIGINT[])[((acc & {mask}) << {DIMS}) + {corner} + 1], CAST(0 AS BIGINT)) >> {STATE_BITS} AS curve
   FROM levels),
 placed AS (
-  SELECT *, row_number() OVER (ORDER BY curve, sub, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos FROM walked),
+  SELECT *, row_number() OVER (ORDER BY curve, doc_id NULLS FIRST, text_crc32, size) - 1 AS pos FROM walked),
 cut AS (SELECT *, CAST(({N_SHARDS} * (pos + 1) - 1) // n AS INT) AS shard FROM placed)
 SELECT doc_id, size, text_crc32, 'rows' AS law, shard, pos - (CAST(shard AS BIGINT) * n) // {N_SHARDS} AS slot,
        CAST(NULL AS INT) AS grown_shard, curve
