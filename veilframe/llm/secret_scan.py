@@ -1,24 +1,27 @@
-"""Secret scan: pattern findings, and a character network over every other candidate.
-
-Base findings come from three patterns and always stay. Every other run of CANDIDATE
-or more key characters with a letter and a digit is a candidate: the network (a numpy
-convolution over its characters and those around it, with max and mean pooling) scores it; of
-a long candidate overlapping windows are scored, and the greatest score counts. It is
-trained on labelled findings, calibrated on others (Platt), and the threshold is the
-highest that keeps RECALL of the secrets of the calibration set. The data has no labels for
-secrets, so the labelled findings are generated from known formats, by a seed; a user with
-findings of their own passes them to ``train``.
+"""Secret scan: pattern findings and other candidates, each judged by a character network.
+
+Base findings come from three patterns. Every run of CANDIDATE or more key characters with
+a letter and a digit outside of them is a candidate too (near misses of the patterns, keys of
+other formats, and a lot of harmless text). The network (a numpy convolution over a candidate's
+characters and those around it, with max and mean pooling) scores every candidate, base
+findings too; of a long candidate overlapping windows are scored, and the greatest score
+counts. Base findings always stay, with their score; another candidate is a finding, as a whole,
+if its score reaches the threshold. The network is trained on labelled findings, calibrated on
+others (Platt), and the threshold is the highest that keeps RECALL of the secrets of the
+calibration set. The data has no labels for secrets, so the labelled findings are generated
+from known formats and their near misses, by a seed; a user with findings of their own passes
+them to ``train``.
 
 Whole texts are read once; nothing is shuffled. The model is some ten thousand numbers.
 
 Defined results: null text counts as empty; texts without findings have the checksum
-and list of an empty string; repeated rows get equal results; an empty table
-gives no rows; other columns are not read by the query and kept by ``scanned``.
+and lists of an empty string, and a null greatest score if they have no candidate either;
+repeated rows get equal results; an empty table gives no rows; other columns are not read
+by the query and kept by ``scanned``.
 """
 
 from __future__ import annotations
 
-import hashlib
 import re
 import string
 from collections.abc import Iterator
@@ -27,6 +30,7 @@ from functools import lru_cache
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
@@ -37,7 +41,7 @@ ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 #: A run of 16 or more: shorter runs fail, and a run is left as a whole either way.
 HEX = re.compile(r"[0-9a-f]{16,}")
-CANDIDATE = 20
+CANDIDATE = 12
 RUN = re.compile(rf"[A-Za-z0-9+/_=-]{{{CANDIDATE},}}")
 HINTS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 BEFORE, INSIDE, AFTER = 20, 44, 8
@@ -94,43 +98,62 @@ def windows(text: str, a: int, b: int) -> Iterator[list[int]]:
 
 
 def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
-    """Generated findings: secrets of known formats, and look-alikes that are none."""
+    """Generated findings: secrets of known formats, and near misses and look-alikes that are none."""
     rng = np.random.default_rng(seed)
     pick = lambda alphabet, k: "".join(alphabet[i] for i in rng.integers(len(alphabet), size=k))
+    size = lambda low, high: int(rng.integers(low, high))
     syllables = "th er on an re he in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve ung ment ción".split()
-    word = lambda: "".join(syllables[i] for i in rng.integers(len(syllables), size=int(rng.integers(1, 5))))
+    word = lambda: "".join(syllables[i] for i in rng.integers(len(syllables), size=size(1, 5)))
     b64, alnum, hexa = string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits, "0123456789abcdef"
+    date = lambda: f"20{pick('012', 1)}{pick(string.digits, 1)}-{pick('01', 1)}{pick(string.digits, 1)}-{pick('0123', 1)}{pick(string.digits, 1)}"
+    keyword = lambda: str(rng.choice(["password", "passwd", "secret", "token", "api_key", "apikey", "Password", "TOKEN", "API_KEY"]))
+    between = lambda: str(rng.choice(["=", ": ", " = ", ":", '": "', "='"]))
     secret = [
-        lambda: pick(b64, int(rng.integers(24, 64))) + "=" * int(rng.integers(0, 3)),
-        lambda: pick(alnum, int(rng.integers(20, 48))),
+        lambda: pick(b64, size(24, 64)) + "=" * size(0, 3),
+        lambda: pick(alnum, size(20, 48)),
         lambda: "ghp_" + pick(alnum, 36),
-        lambda: "sk-" + pick(alnum, int(rng.integers(32, 48))),
+        lambda: "sk-" + pick(alnum, size(32, 48)),
         lambda: "xoxb-" + pick(string.digits, 12) + "-" + pick(alnum, 24),
         lambda: "AIza" + pick(alnum + "_-", 35),
-        lambda: "eyJ" + pick(alnum + "_-", int(rng.integers(30, 60))),
+        lambda: "eyJ" + pick(alnum + "_-", size(30, 60)),
         lambda: pick(hexa.upper(), int(rng.choice([32, 40, 64]))),
         lambda: "glpat-" + pick(alnum + "_-", 20),
+        lambda: pick(alnum, size(14, 20)),
+        lambda: keyword() + between() + pick(alnum + "+/_.-", size(12, 40)),
+        lambda: keyword() + between() + word() + pick(string.digits, 3) + pick(alnum, size(8, 12)),
+        lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, size(14, 19)),
+        lambda: pick(hexa, size(16, 65)),
     ]
     harmless = [
         lambda: "_".join(word() for _ in range(4)) + pick(string.digits, 2),
         lambda: "-".join(word() for _ in range(5)) + "-" + pick(string.digits, 4),
         lambda: "/".join(word() for _ in range(4)) + "/" + pick(string.digits, 3),
         lambda: "".join(word().title() for _ in range(4)) + pick(string.digits, 1),
-        lambda: f"20{pick('012', 1)}{pick(string.digits, 1)}-{pick('01', 1)}{pick(string.digits, 1)}-{pick('012', 1)}{pick(string.digits, 1)}T{pick('01', 1)}{pick(string.digits, 1)}-00-00Z",
+        lambda: f"{date()}T{pick('01', 1)}{pick(string.digits, 1)}-00-00Z",
         lambda: word() * 6 + pick(string.digits, 1),
         lambda: pick(string.digits, 12) + "-" + word() + "-" + pick(string.digits, 8),
         lambda: "=" * 18 + word() + pick(string.digits, 1),
-        lambda: pick(alnum, 1) * int(rng.integers(19, 30)) + pick(string.digits, 1),
+        lambda: pick(alnum, 1) * size(19, 30) + pick(string.digits, 1),
         lambda: "".join(word() for _ in range(7))[:40] + pick(string.digits, 1),
         lambda: word() + "+" + word() + "+" + word() + "+" + word() + pick(string.digits, 2),
+        lambda: keyword() + "=" + (word() + pick(string.digits, 3))[-size(5, 9) :],
+        lambda: "AKIA" + pick(string.ascii_uppercase + string.digits, size(8, 13)),
+        lambda: pick(hexa, size(12, 16)),
+        lambda: pick(string.ascii_uppercase, 2) + pick(string.digits, size(14, 24)),
+        lambda: f"{word()}_{date()}",
+        lambda: f"{date()}_{word()}-{word()}",
+        lambda: "-".join(pick(hexa, k) for k in (8, 4, 4, 4, 12)),
+        lambda: f"v{size(0, 9)}_{size(0, 20)}-{word()}-rc{size(1, 9)}",
+        lambda: word() + pick(string.digits, 4) + "-" + word() + "_" + word(),
+        lambda: word().upper() + "-" + pick(string.digits, 8),
     ]
     lead = ["key = ", "Authorization: Bearer ", "auth=", "credential: ", '"', "export KEY=", "(", "", "", ""]
     x, y = [], []
     for _ in range(n):
         is_secret = bool(rng.random() < 0.5)
         kind = secret if is_secret else harmless
-        run = kind[int(rng.integers(len(kind)))]().ljust(CANDIDATE, "0" if is_secret else "e")
-        before = " ".join(word() for _ in range(3)) + " " + lead[int(rng.integers(len(lead)))]
+        run = kind[size(0, len(kind))]().ljust(CANDIDATE, "0" if is_secret else "e")
+        before = " ".join(word() for _ in range(3)) + " " + lead[size(0, len(lead))]
         text = before + run + str(rng.choice([" ", '" ', ". ", ", "])) + word()
         x.append(window(text, len(before), len(before) + len(run)))
         y.append(float(is_secret))
@@ -200,7 +223,7 @@ class Network:
             da, dc = np.linalg.solve(h, g)
             a, c = a - np.clip(da, -1, 1), c - np.clip(dc, -1, 1)
         self.slope, self.offset = float(a), float(c)
-        self.threshold = float(max(np.quantile(self.scores(x)[y == 1], 1 - recall, method="lower"), 0.5))
+        self.threshold = float(np.quantile(self.scores(x)[y == 1], 1 - recall, method="lower"))
 
 
 def train(x: np.ndarray, y: np.ndarray, calibration: tuple[np.ndarray, np.ndarray]) -> Network:
@@ -212,68 +235,74 @@ def train(x: np.ndarray, y: np.ndarray, calibration: tuple[np.ndarray, np.ndarra
 
 @lru_cache(maxsize=1)
 def generated_network() -> Network:
-    return train(*labelled_findings(6_000, 11), labelled_findings(2_000, 12))
+    return train(*labelled_findings(8_000, 11), labelled_findings(3_000, 12))
 
 
-def findings(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
-    """(start, kind, end) of all findings of each text, in order."""
-    out, found, owner, some = [], set(), [], []
+def judged(texts: list[str], net: Network) -> list[tuple[list[tuple[int, int, int, float]], int, float | None]]:
+    """Of each text (start, kind, end, score) of all findings in order, the number of candidates, their greatest score."""
+    spans, owner, some, best = [], [], [], {}
 
     def score() -> None:
-        found.update(o for o, p in zip(owner, net.scores(np.array(some)), strict=True) if p >= net.threshold)
+        for o, p in zip(owner, net.scores(np.array(some)).tolist(), strict=True):
+            best[o] = max(best.get(o, 0.0), p)
         owner.clear()
         some.clear()
 
     for i, text in enumerate(texts):
         base = base_findings(text)
-        out.append(base)
-        for a, b in candidates(text, base):
+        spans.append(base + [(a, 3, b) for a, b in candidates(text, base)])
+        for a, k, b in spans[-1]:
             for w in windows(text, a, b):
-                owner.append((i, a, b))
+                owner.append((i, a, k, b))
                 some.append(w)
                 if len(some) == 4096:
                     score()
     if some:
         score()
-    for i, a, b in found:
-        out[i].append((a, 3, b))
-    return [sorted(s) for s in out]
+    out = []
+    for i, own in enumerate(spans):
+        all_ = [(*s, best[i, *s]) for s in own]
+        out.append((sorted(s for s in all_ if s[1] < 3 or s[3] >= net.threshold), len(all_), max((s[3] for s in all_), default=None)))
+    return out
+
+
+def findings(texts: list[str], net: Network) -> list[list[tuple[int, int, int]]]:
+    """(start, kind, end) of all findings of each text, in order."""
+    return [[s[:3] for s in found] for found, _, _ in judged(texts, net)]
 
 
 def scanned(docs: DataFrame, net: Network | None = None, name: str = "findings") -> DataFrame:
-    """docs with an array of (kind, start, end), code points, end exclusive."""
-    name, net = fresh(docs, name)[0], net or generated_network()
+    """docs with an array of (kind, start, end, score), code points, end exclusive, the number
+    of candidates and their greatest score."""
+    (name, n_name, best_name), net = fresh(docs, name, "n_candidates", "max_score"), net or generated_network()
     at = docs.columns.index("text")
-    schema = StructType([*docs.schema.fields, *StructType.fromDDL(f"{name} array<struct<kind: string, start: int, end: int>>").fields])
+    extra = f"{name} array<struct<kind: string, start: int, end: int, score: double>>, {n_name} long, {best_name} double"
+    schema = StructType([*docs.schema.fields, *StructType.fromDDL(extra).fields])
     kind, names = to_arrow_schema(schema).field(name).type, schema.names
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             column, made = batch.column(at), []
             for i in range(0, len(column), 256):
-                made += findings([x.as_py() or "" for x in column[i : i + 256]], net)
-            rows = [[{"kind": KINDS[k], "start": a, "end": b} for a, k, b in s] for s in made]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rows, type=kind)], names=names)
+                made += judged([x.as_py() or "" for x in column[i : i + 256]], net)
+            rows = [[{"kind": KINDS[k], "start": a, "end": b, "score": p} for a, k, b, p in s] for s, _, _ in made]
+            columns = [pa.array(rows, type=kind), pa.array([n for _, n, _ in made], type=pa.int64()), pa.array([p for _, _, p in made], type=pa.float64())]
+            yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
     return docs.mapInArrow(run, schema)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    net = generated_network()
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-
-    def digest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for spans in batch.column(1):
-                s = [(x["start"], KINDS.index(x["kind"]), x["end"], x["kind"]) for x in spans.as_py()]
-                shown = lambda some: ",".join(f"{k}:{a}:{b}" for a, _, b, k in sorted(some))
-                count = [sum(x[1] == k for x in s) for k in range(4)]
-                out.append((*count, hashlib.sha256(shown([x for x in s if x[1] < 3]).encode()).hexdigest(), shown(s)))
-            cols = list(zip(*out, strict=True)) if out else [()] * 6
-            kinds = [pa.int64()] * 4 + [pa.string()] * 2
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, type=k) for c, k in zip(cols, kinds, strict=True))], names=names)
-
-    names = ["doc_id", "n_assign", "n_access", "n_hex", "n_learned", "base_sha256", "spans"]
-    found = scanned(docs, net).select("doc_id", "findings")
-    return found.mapInArrow(digest, "doc_id long, n_assign long, n_access long, n_hex long, n_learned long, base_sha256 string, spans string")
+    found = scanned(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    rank = lambda x: F.array_position(F.lit(list(KINDS)), x["kind"])
+    shown = lambda some: F.array_join(F.transform(some, lambda x: F.concat_ws(":", x["kind"], x["start"].cast("string"), x["end"].cast("string"))), ",")
+    many = lambda k: F.size(F.filter("findings", lambda x: x["kind"] == k)).cast("long").alias(f"n_{k}")
+    return found.select(
+        "doc_id",
+        *(many(k) for k in KINDS),
+        F.sha2(shown(F.filter("findings", lambda x: rank(x) < len(KINDS))), 256).alias("base_sha256"),
+        shown(F.col("findings")).alias("spans"),
+        F.array_join(F.transform("findings", lambda x: F.format_number(x["score"], 4)), ",").alias("scores"),
+        "n_candidates",
+        "max_score",
+    )
