@@ -146,6 +146,7 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: f"v{size(0, 9)}_{size(0, 20)}-{word()}-rc{size(1, 9)}",
         lambda: word() + pick(string.digits, 4) + "-" + word() + "_" + word(),
         lambda: word().upper() + "-" + pick(string.digits, 8),
+        lambda: pick(string.digits, size(16, 20)),
     ]
     lead = ["key = ", "Authorization: Bearer ", "auth=", "credential: ", '"', "export KEY=", "(", "", "", ""]
     x, y = [], []
