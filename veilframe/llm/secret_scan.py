@@ -154,8 +154,9 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         is_secret = bool(rng.random() < 0.5)
         kind = secret if is_secret else harmless
         run = kind[size(0, len(kind))]().ljust(CANDIDATE, "0" if is_secret else "e")
-        before = " ".join(word() for _ in range(3)) + " " + lead[size(0, len(lead))]
-        text = before + run + str(rng.choice([" ", '" ', ". ", ", "])) + word()
+        case = (str.lower, str.title, str.upper)[min(size(0, 5), 2) if rng.random() < 0.5 else 0]
+        before = case(str(rng.choice([" ", "!! ", ", "])).join(word() for _ in range(3))) + " " + lead[size(0, len(lead))]
+        text = before + run + str(rng.choice([" ", '" ', ". ", ", ", "!! ", ".\n"])) + case(word())
         x.append(window(text, len(before), len(before) + len(run)))
         y.append(float(is_secret))
     return np.array(x, dtype=np.int64), np.array(y)
@@ -184,7 +185,7 @@ class Network:
         z = np.concatenate([self.forward(x[i : i + 512])[3] for i in range(0, len(x), 512)]) if len(x) else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(self.slope * z + self.offset, -50, 50)))
 
-    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 5, batch: int = 128, rate: float = 0.01) -> None:
+    def fit(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 128, rate: float = 0.01) -> None:
         rng = np.random.default_rng(5)
         params = [self.kernel, self.shift, self.dense, self.bias]
         m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]
