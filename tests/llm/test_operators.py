@@ -157,9 +157,53 @@ def test_surrogates(docs, empty, clashing):
         out = [by.digits(v, kind) for v in values]
         assert len(set(out)) == 10_000 and all(a != b for a, b in zip(values, out, strict=True))
     assert pii.replaced("The mill and the river, 12 of May 1999.", by)[0] == "The mill and the river, 12 of May 1999."
-    assert pii.pseudonymised(clashing).count() == 9 and pii.clean(empty).count() == 0
-    assert pii.clean(docs).columns == docs.columns
-    assert [r.text for r in pii.clean(docs).where("doc_id = 1").collect()] == [None]
+    assert pii.pseudonymised(clashing, b"k").count() == 9 and pii.clean(empty, b"k").count() == 0
+    assert pii.clean(docs, b"k").columns == docs.columns
+    assert [r.text for r in pii.clean(docs, b"k").where("doc_id = 1").collect()] == [None]
+
+
+def test_names_by_context():
+    by = pii.Surrogates(b"k")
+    for text, names in [
+        ("Oliver Becker met Priya Natarajan and Wei Zhang.", ["Oliver Becker", "Priya Natarajan", "Wei Zhang"]),
+        ("Dr. Ann Lee wrote to Mr. Bob Stone, Carla Diaz and Eve Moss.", ["Ann Lee", "Bob Stone", "Carla Diaz", "Eve Moss"]),
+        ("The Old Mill stood by Der Alte Mann in New York.", []),
+    ]:
+        new, spans, _ = pii.replaced(text, by)
+        assert [text[a:b] for a, b, kind in spans if kind == "PERSON"] == names
+        assert not any(n in new for n in names) and len(new) >= len(text) - 20
+    names = [a + b + c + d for a in "bkcz" for b in "ae" for c in "nsx" for d in ("na", "ta", "sa")]
+    names = [n.title() for n in names] + [n for ns in pii.FIRST_NAMES.values() for n in ns]
+    made = [by.of("PERSON", n) for n in names]
+    assert len(set(made)) == len(set(names)) and not any(a == b for a, b in zip(names, made, strict=True))
+    assert all((a in pii.KNOWN) == (b in pii.KNOWN) for a, b in zip(names, made, strict=True))
+
+
+def test_ibans_and_country_codes():
+    by, valid = pii.Surrogates(b"k"), lambda v: int("".join(str(int(c, 36)) for c in v[4:] + v[:4])) % 97 == 1
+    seen = set()
+    for i in range(300):
+        account = f"{370400440532013000 + 7919 * i:018d}"
+        good = "DE" + pii.iban_check("DE", account) + account
+        bad = f"DE{(int(good[2:4]) + 1) % 100:02d}{account}"
+        for v in (good, bad):
+            new = by.of("IBAN", v)
+            assert new[:2] == "DE" and new != v and valid(new) == valid(v) and len(new) == len(v)
+            seen.add(new)
+    assert len(seen) == 600
+    assert re.fullmatch(r"[A-Z]{2}\d\d [A-Z]{4} \d{4} \d{4} \d{4} \d\d", by.of("IBAN", "GB82 WEST 1234 5698 7654 32"))
+    for phone, code in (("+420 777 123 456", "+420 "), ("+49 170 1234567", "+49 "), ("+7 912 345 67 89", "+7 "), ("+1 (487) 555-7209", "+1 (")):
+        assert by.of("PHONE", phone).startswith(code) and by.of("PHONE", phone) != phone
+
+
+def test_clashes_are_moved_on():
+    class Same(pii.Surrogates):
+        def _of(self, kind, value):  # all e-mail addresses and numbers meet at one surrogate first
+            return "x@y.example" if not value.startswith("x") else value + "x"
+
+    new, spans, moved = pii.replaced("a@b.example c@d.example a@b.example", Same(b"k"))
+    a, c, again = new.split(" ")
+    assert a == again != c and moved == 1 and len(spans) == 3
 
 
 def test_toxicity(spark, docs, empty, clashing):
@@ -435,13 +479,66 @@ def test_secrets_of_the_table(spark):
 
 
 def test_pipeline(spark, texts):
+    """run() against SQL, shingle sets and the tokenizer library, row by row."""
+    import duckdb
+    import pandas as pd
+    import tiktoken
+
     import corpus_pipeline
 
-    got = corpus_pipeline.run(spark, SF).collect()
-    kept = {r.doc_id for r in quality.keep(spark.read.parquet(f"{SF}/documents.parquet")).collect()}
-    assert {r.doc_id for r in got} <= kept and len({r.doc_id for r in got}) > 0.5 * len(kept)
-    by, path = pii.Surrogates(pii.KEY), bpe.vocabulary()
-    for r in got:
-        text = pii.replaced(texts[r.doc_id], by)[0]
-        assert r.decoded_sha256 == hashlib.sha256(text.encode()).hexdigest() and len(r.ids) == r.n_tokens
-    assert path
+    spark.conf.set(pii.KEY_SETTING, "test key")
+    got = Counter((r.doc_id, r.source, r.n_tokens, tuple(r.ids), r.decoded_sha256) for r in corpus_pipeline.run(spark, SF).collect())
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM '{SF}/documents.parquet'")
+    kept = {r[0] for r in con.sql(f"SELECT doc_id FROM ({quality.oracle()}) WHERE kept").fetchall()}
+    single = kept_by_sets({i: t for i, t in texts.items() if i in kept})
+    assert 100 < len(single) < len(kept) < len(texts)
+    by, source = pii.Surrogates(b"test key"), dict(con.sql("SELECT doc_id, source FROM documents").fetchall())
+    clean = pd.DataFrame([(i, pii.replaced(texts[i], by)[0], source[i]) for i in sorted(single)], columns=["doc_id", "text", "source"])  # noqa: F841
+    taken = con.sql(mixing.oracle("clean")).df()
+    path, pattern = bpe.vocabulary()
+    library = tiktoken.Encoding("own", pat_str=pattern, mergeable_ranks=bpe.read_ranks(path), special_tokens={})
+    want = Counter()
+    for r in taken.itertuples():
+        if r.taken:
+            text = clean.text[clean.doc_id == r.doc_id].iloc[0]
+            ids = tuple(library.encode_ordinary(text))
+            want[r.doc_id, source[r.doc_id], len(ids), ids, hashlib.sha256(text.encode()).hexdigest()] += r.taken // r.size
+    assert got == want
+
+
+def test_pipeline_edges(spark, docs, clashing, tables):
+    """Nulls, repeated rows, an empty table and clashing columns through every stage."""
+    import corpus_pipeline
+
+    from pyspark.sql import functions as F
+
+    real = spark.read.parquet(f"{SF}/documents.parquet").where("doc_id < 40").withColumn("source", F.when(F.col("doc_id") % 2 == 0, F.col("source")))
+    real = real.union(real.where("doc_id < 20")).union(real.where("doc_id > 30").withColumn("doc_id", F.lit(None).cast("long")))
+    one, two = clashing.unionByName(real, allowMissingColumns=True), docs.where("1 = 0")
+    for df in (one, two):
+        path = tables(df, f"{df.columns[-1]}/documents")
+        out = corpus_pipeline.run(spark, path + f"/{df.columns[-1]}")
+        assert {"doc_id", "source", "n_tokens", "decoded_sha256"} <= set(out.columns)
+        rows = out.collect()
+        assert {r.doc_id for r in rows} <= {r.doc_id for r in df.collect()} and (df is one) == bool(rows)
+
+
+@pytest.mark.parametrize("name", [n for n in queries.QUERIES if n not in ("op4_html_layout",)])
+def test_queries_on_edge_tables(spark, name, docs, clashing, tables):
+    """Every query on a table of nulls, empty and long texts, repeated rows, further columns, and on an empty one."""
+    labels = spark.createDataFrame([(0, 1, 1), (3, 0, 0), (None, 1, None)], "doc_id long, quality int, toxic int")
+    for df, n in ((clashing, 9), (docs.where("1 = 0"), 0)):
+        path = tables(df, f"{n}/documents")
+        tables(labels, f"{n}/labels")
+        rows = queries.QUERIES[name](spark, f"{path}/{n}").collect()
+        assert len(rows) == n and Counter(r.doc_id for r in rows) == Counter(r.doc_id for r in df.collect())
+
+
+def test_pages_query_on_edge_tables(spark, tables):
+    rows = [(1, "u", "<p>" + "x" * 300_000, 0), (1, None, None, 0), (1, None, None, 0), (None, "", "", 1)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string, text int")
+    for d, n in ((df, 4), (df.where("1 = 0"), 0)):
+        path = tables(d, f"{n}/pages")
+        got = queries.QUERIES["op4_html_layout"](spark, f"{path}/{n}").collect()
+        assert sorted(len(r.text) for r in got) == ([0, 0, 0, 300_000] if n else [])

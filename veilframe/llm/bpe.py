@@ -207,9 +207,9 @@ def _whole(encoder: TreeEncoder, text: str) -> tuple:
 
 
 def tokenised(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """doc_id, lang, source, and the number of ids, the ids, the checksum of their bytes."""
-    schema = "n_tokens long, ids array<int>, decoded_sha256 string"
-    return _batched(docs.select("doc_id", "lang", "source", "text"), read_ranks(path), pattern, schema, _whole).drop("text")
+    """docs without text, with the number of ids, the ids, the checksum of their bytes (renamed if taken)."""
+    n, ids, decoded = fresh(docs, "n_tokens", "ids", "decoded_sha256")
+    return _batched(docs, read_ranks(path), pattern, f"{n} long, {ids} array<int>, {decoded} string", _whole).drop("text")
 
 
 def vocabulary() -> tuple[str, str]:
