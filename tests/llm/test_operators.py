@@ -346,6 +346,19 @@ def test_dedup_against_sets(spark):
     assert got == kept_by_sets(rows) and 60 < len(got) < 220
 
 
+def test_dedup_of_a_family(spark):
+    """One large family around its original, copies from equal to under the limit, and one without its original."""
+    rng, rows = np.random.default_rng(6), {}
+    for whole in (True, False):
+        base = [f"b{i}" for i in rng.integers(0, 5000, 150)]
+        for k in range(150):
+            at = set(rng.choice(len(base), int(rng.integers(0 if whole else 2, 8)), replace=False))
+            rows[len(rows)] = " ".join(f"x{rng.integers(0, 1 << 30)}" if i in at else w for i, w in enumerate(base))
+    got = {r.doc_id for r in simhash.dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    want = kept_by_sets(rows)
+    assert got == want and 60 < len(got) < 240
+
+
 def test_dedup_of_repeated_passages(spark):
     """Sizes are of distinct shingles: a text, and one with it three times over."""
     base = " ".join(f"w{i}" for i in range(300))

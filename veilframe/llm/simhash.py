@@ -50,8 +50,8 @@ STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 BANDS, BAND = 25, 5
 #: Fingerprints whose keys one task makes.
 FPS_A_TASK = 100_000
-#: Star rounds after the first before the rest of a bucket meets pair by pair.
-ROUNDS = 2
+#: Bytes of shingle sets that one task holds on disk.
+SET_BYTES = 1 << 25
 BLOCK = 1 << 15
 SEGMENTS = ((42, 22), (21, 21), (0, 21))
 #: Of the Golay code: x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1.
@@ -276,38 +276,85 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     return both.mapInArrow(run, "u long, v long")
 
 
+def shingles(sets: DataFrame) -> DataFrame:
+    """A row (node, h) for each shingle of sets (node, held)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, held in zip(batch.column(0), batch.column(1), strict=True):
+                found = np.frombuffer(held.as_py(), dtype=np.int32)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node.as_py(), dtype=np.int64)), pa.array(found)], names=["node", "h"])
+
+    return sets.select("node", "held").mapInArrow(run, "node long, h int")
+
+
+def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of nodes (node, n, root) with different roots that can still be a link;
+    and what they are made of, held on disk until unpersist().
+
+    Each node's shingles are put in one order for all, the rarest first. Two sets of sizes
+    n1 >= n2 need an overlap of s / (1 + s) (n1 + n2), so they share a shingle before so many
+    are left of either; only such beginnings meet, by shingle and level of size, and what
+    both still have after the shingle bounds the overlap. In a family of near copies the
+    rarest shingles are each copy's own changes, so copies too far apart never meet. Where
+    a shingle is common to a large component, its members are not held against each other.
+    """
+    s, level = similarity, lambda n: F.floor(F.log(n) / np.log(1.05)).cast("int")
+    nodes = nodes.join(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "root").where("n > 0")
+    rows = shingles(sets.join(nodes.select("node"), "node", "left_semi"))
+    rows = rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("c", "h")) - 1).where("c > 1").select("node", "h", "at")
+    rows = rows.join(nodes, "node").withColumn("left", F.col("n") - F.col("at"))
+    most = F.col("left") * ((1 + s) / s) - F.col("n") + 1e-6  # the size of a partner
+    rows = rows.withColumn("most", F.least(F.col("n").cast("double"), most)).where(F.col("most") >= F.col("n") * s)
+    rows = held = held_on_disk(rows)
+    names = ["node", "n", "root", "left", "weight", "h", "level"]
+    seeks = rows.withColumn("level", F.explode(F.sequence(level(F.col("n") * s - 1e-6), level(F.col("most"))))).select(*names)
+    stays = rows.where(F.col("left") * (1 + s) >= F.col("n") * (2 * s) - 1e-6).withColumn("level", level(F.col("n"))).select(*names)
+    largest = F.max(F.struct("weight", "root"))["root"].alias("main")
+    groups = seeks.select("h", "level", "root", "weight").union(stays.select("h", "level", "root", "weight")).groupBy("h", "level")
+    groups = groups.agg(F.min("root").alias("low"), F.max("root").alias("high"), largest).where("low < high").select("h", "level", "main")
+    a = seeks.join(groups, ["h", "level"]).withColumn("own", F.col("root") == F.col("main")).drop("main", "weight").toDF("h", "level", "u", "n1", "ru", "left1", "own1")
+    b = stays.join(groups, ["h", "level"]).withColumn("own", F.col("root") == F.col("main")).drop("main", "weight").toDF("h", "level", "v", "n2", "rv", "left2", "own2")
+    smaller = (F.col("n2") < F.col("n1")) | ((F.col("n2") == F.col("n1")) & (F.col("v") < F.col("u")))
+    fits = (F.col("ru") != F.col("rv")) & smaller & (F.least("left1", "left2") * (1 + s) >= (F.col("n1") + F.col("n2")) * s - 1e-6)
+    at = ["h", "level"]
+    pairs = a.where("not own1").join(b, at).where(fits).select("u", "v").union(a.where("own1").join(b.where("not own2"), at).where(fits).select("u", "v"))
+    return pairs, held
+
+
 def alike(rows: DataFrame, similarity: float) -> DataFrame:
     """(node, root) of the components of nodes (of sketched rows), for those with a link.
 
-    In a bucket all are compared to one member, its hub, ROUNDS + 1 times to another of those
-    in other components, then every two still in different components. Sizes alone exclude
-    pairs whose sizes differ by more than the similarity. Hubs come from sums that are made
-    before the shuffle and are joined back, so that a hot bucket can be split.
+    In a bucket all are compared to its hub, the member that shares its buckets with the most
+    others (the middle of a family of near copies). Of the buckets that then hold more than
+    one component, the pairs that could still be links are compared one by one. Hubs come
+    from sums that are made before the shuffle and are joined back, so that a hot bucket
+    can be split.
     """
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1").select("key")
-    members = held_on_disk(members.join(shared, "key").select("key", "node", "n"))
-    sets = checkpoint(rows.select("node", "held").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"]), wide=True)
-    links = found = None
-    for left in range(ROUNDS, -2, -1):
-        now = members.withColumn("root", F.col("node"))
-        if found is not None:
-            now = members.join(found.toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-        hub = F.min(F.struct(F.xxhash64("node", F.lit(left)), "node", "n", "root")).alias("hub")
-        hubs = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), hub).where("low < high").select("key", "hub")
-        now = now.join(hubs, "key")
-        if left >= 0:
-            pairs = now.where((F.col("root") != F.col("hub.root")) & fits(F.col("n"), F.col("hub.n"))).select(F.col("node").alias("u"), F.col("hub.node").alias("v"))
-        else:
-            a, b = now.drop("hub").toDF("key", "u", "n1", "ru"), now.drop("hub").toDF("key", "v", "n2", "rv")
-            pairs = a.join(b, (a.key == b.key) & (F.col("ru") < F.col("rv")) & fits(F.col("n1"), F.col("n2"))).select("u", "v")
-        more = checkpoint(similar(pairs.distinct(), sets, similarity))
-        links = more if links is None else links.union(more)
-        if found is None or not more.isEmpty():
-            found = checkpoint(components(links))
-    members.unpersist()
+    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    members = held_on_disk(members.join(shared, "key").select("key", "node", "n", "size"))
+    central = members.groupBy("node").agg(F.sum("size").alias("near"))
+    # The sets of all that share a bucket, dealt once by node; the joins below find them in place.
+    words = members.agg(F.sum("n")).first()[0] or 0
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, words * 4 // BANDS // SET_BYTES)
+    sets = rows.select("node", "held").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
+    sets = held_on_disk(sets.repartition(parts, "node"))
+    now = members.join(central, "node").select("key", "node", "n", (-F.col("near")).alias("rank"))
+    hubs = now.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"))
+    now = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
+    links = checkpoint(similar(now.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), sets, similarity))
+    found = checkpoint(components(links))
+    now = members.join(found.toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
+    pairs, rest = due_pairs(checkpoint(now.join(mixed, "key").select("node", "n", "root").distinct()), sets, similarity)
+    more = checkpoint(similar(pairs.distinct(), sets, similarity))
+    found = found if more.isEmpty() else checkpoint(components(links.union(more)))
+    for df in (rest, sets, members):
+        df.unpersist()
     return found
 
 
