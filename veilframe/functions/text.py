@@ -7,6 +7,7 @@ null for the rest.
 
 from __future__ import annotations
 
+import re
 import unicodedata
 from dataclasses import dataclass
 
@@ -83,19 +84,24 @@ def domain_fragment(text: Column) -> Column:
     return text.rlike("^[A-Za-z0-9.-]+\\.[A-Za-z]{2,}\\z")
 
 
+#: White space that collapsing does not leave in place: runs, and at the ends.
+_RAGGED = re.compile(r"\s\s|\A\s|\s\Z")
+
+
 class View:
     """A text normalised character by character, with the origin of each character."""
 
     def __init__(self, text: str, policy: Canon):
         self.text, self.policy = text, policy
-        if text.isascii() and "  " not in text and not any(c in text for c in "\t\n\r\x0b\x0c\x1c\x1d\x1e\x1f") and text == text.strip():
-            self.norm, self.pos = (text.lower() if policy.casefold else text), None  # places are the same
+        fold = {c: self._folded(c) for c in set(text)}
+        if all(len(x) == 1 for x in fold.values()) and not (policy.collapse_whitespace and _RAGGED.search(text)):
+            if policy.collapse_whitespace:
+                fold |= {c: " " for c, x in fold.items() if x.isspace()}
+            self.norm, self.pos = text.translate({ord(c): x for c, x in fold.items()}), None  # places are the same
             return
         out, pos, gap = [], [], False
         for i, c in enumerate(text):
-            folded = unicodedata.normalize(policy.unicode_normalize, c)
-            folded = folded.casefold() if policy.casefold else folded
-            for x in folded:
+            for x in fold[c]:
                 if policy.collapse_whitespace and x.isspace():
                     gap = True
                     continue
@@ -108,16 +114,24 @@ class View:
                 pos.append(i)
         self.norm, self.pos = "".join(out), pos
 
+    def _folded(self, c: str) -> str:
+        out = c if c.isascii() else unicodedata.normalize(self.policy.unicode_normalize, c)
+        return out.casefold() if self.policy.casefold else out
+
     def needle(self, entity: str) -> str:
         own = View(entity, self.policy).norm
         return (own.strip(OUTER_PUNCTUATION) if self.policy.strip_outer_punct else own).strip()
 
     def find(self, entity: str) -> list[tuple[int, int]]:
-        """All occurrences, overlapping ones too, as [start, end) in the text."""
+        """All occurrences, overlapping ones too, as [start, end) in the text.
+
+        What is looked for decides on word boundaries, so punctuation that is stripped from
+        a mention does not let it match inside words.
+        """
         needle = self.needle(entity)
         if not needle:
             return []
-        bounded = all(c.isalnum() or c in " -'" for c in entity)
+        bounded = all(c.isalnum() or c in " -'" for c in needle)
         out, at = [], self.norm.find(needle)
         while at >= 0:
             last = at + len(needle) - 1

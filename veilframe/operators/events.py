@@ -14,14 +14,19 @@ def pieces(text: Column) -> Column:
 
 
 def token_events(name: str, text: Column) -> Column:
-    """One event a piece, with the text so far."""
+    """One event a piece, with the text so far: the pieces stand side by side in the text, so
+    that is its beginning up to the piece's end."""
+    body = F.regexp_replace(text, r"(?U)\A\s+", "")
 
-    def event(p: Column, i: Column) -> Column:
-        so_far = F.array_join(F.slice(pieces(text), F.lit(1), i + 1), "")
-        data = F.to_json(F.struct(p.alias("token"), so_far.alias("text_so_far"), F.length(so_far).alias("length")))
+    def listed(ps: Column) -> Column:
+        ends = F.aggregate(ps, F.array().cast("array<int>"), lambda acc, p: F.array_append(acc, F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + F.length(p)), lambda acc: acc)
+        return F.get(F.transform(F.array(ends), lambda es: F.transform(ps, lambda p, i: event(p, F.get(es, i)))), F.lit(0))
+
+    def event(p: Column, end: Column) -> Column:
+        data = F.to_json(F.struct(p.alias("token"), F.substring(body, F.lit(1), end).alias("text_so_far"), end.alias("length")))
         return F.struct(F.lit(name).alias("event"), data.alias("data"))
 
-    return F.transform(pieces(text), event)
+    return F.get(F.transform(F.array(pieces(text)), listed), F.lit(0))
 
 
 def one(name: str, *fields: Column) -> Column:
@@ -60,10 +65,15 @@ def parsed(stream: Column) -> Column:
     return F.transform(blocks, lambda b: F.struct(line(b, "event").alias("event"), line(b, "data").alias("data")))
 
 
+def utf16_units(text: Column) -> Column:
+    """Length as browsers count it: characters beyond the basic plane are two units."""
+    return F.octet_length(F.encode(text, "UTF-16BE")) / 2
+
+
 def coverage(text: Column, token_to_original: Column) -> Column:
     """Percent of the text that distinct tokens cover, 100 at most, halves rounded up."""
-    hidden = F.aggregate(F.map_values(token_to_original), F.lit(0), lambda a, v: a + F.length(v))
-    return F.least(F.lit(100), F.floor(F.lit(100.0) * hidden / F.greatest(F.length(text), F.lit(1)) + 0.5).cast("int"))
+    hidden = F.aggregate(F.map_values(token_to_original), F.lit(0.0), lambda a, v: a + utf16_units(v))
+    return F.least(F.lit(100), F.floor(F.lit(100.0) * hidden / F.greatest(utf16_units(text), F.lit(1.0)) + 0.5).cast("int"))
 
 
 def entity_name(typed: Column) -> Column:

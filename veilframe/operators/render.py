@@ -2,15 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import json
 
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.pandas.types import to_arrow_schema
-from pyspark.sql.types import StructType
 
-from ..functions.fakes import link_fake_of, made, projected, provider_of, seed_of
+from ..functions.fakes import chosen_of, is_link, link_fake_of, made, projected, provider_of, seed_of
 from ..sources.extractors import ModelClient
 
 ATTEMPTS = 100
@@ -27,7 +25,7 @@ class RequestFakes:
 
     def _base(self, entity: str, group: str, original: str, attempt: int) -> str:
         n = seed_of(self.session, entity, group, attempt)
-        if "LINK" in entity.upper() or "URL" in entity.upper():
+        if is_link(entity):
             return link_fake_of(original, n)
         return made(provider_of(entity, original, self.overlay), n)
 
@@ -52,65 +50,88 @@ class RequestFakes:
         return self.views[view]
 
 
+def distinct(fake: str, token: str, token_id: str, taken: dict[str, str]) -> str:
+    """fake, or where another token of the request has it, fake with a growing part of the id,
+    then with a number."""
+    ends = [""] + [f"-{token_id[:k]}" for k in range(3, max(4, len(token_id) + 1))]
+    n = 0
+    while taken.get(out := fake + (ends[n] if n < len(ends) else f"{ends[-1]}-{n - len(ends) + 2}"), token) != token:
+        n += 1
+    taken[out] = token
+    return out
+
+
+FAKES = "struct<fakes: array<struct<token: string, fake: string>>, error: string>"
+
+
 def with_fakes(
     requests: DataFrame, entities: list[dict], overlay: dict[str, str] | None = None, llm: str | None = None
 ) -> DataFrame:
-    """requests (session_id, fake_provider, tokens) with fakes: (token, fake) in order.
+    """requests (session_id, fake_provider, tokens) with fakes: (token, fake) in order, and fake_error.
 
-    tokens: array of (token, token_id, entity_id, text, group_key) in order of appearance.
-    An entity's own pool goes before its provider, that before the request's. llm names a
-    map column from entity|group to a model's fake.
+    tokens: array of (token, token_id, entity_id, text, group_key, model_key) in order of
+    appearance; of rows without tokens Python sees a null. An entity's own pool
+    goes before its provider, that before the request's. llm names a map column from model_key
+    to a model's fake; a request that lacks one has an error and no fakes.
     """
-    from ..operators.render_pool import pool_choice
-
     config = {e["id"]: e for e in entities}
-    schema = StructType([*requests.schema.fields, *StructType.fromDDL("fakes array<struct<token: string, fake: string>>").fields])
-    at = {c: requests.columns.index(c) for c in ("session_id", "fake_provider", "tokens", *([llm] if llm else []))}
-    kind, names = to_arrow_schema(schema).field("fakes").type, schema.names
 
-    def one(session: str, default: str, tokens: list[dict], given: dict[str, str]) -> list[dict]:
+    def one(session: str | None, default: str | None, tokens: list[dict], given: dict[str, str] | None) -> dict:
+        session, given = session or "", given or {}
         fakes, taken, out = RequestFakes(session, overlay), {}, []
         for t in tokens:
             e = config.get(t["entity_id"], {})
             pool = [v.strip() for v in (e.get("pseudo_entities") or ()) if v and v.strip()] if e.get("use_pseudo_entities") else []
             group = t["group_key"] or t["token_id"]
             if pool:
-                fake = pool_choice(session, t["entity_id"], t["token"], pool)
+                fake = chosen_of(session, t["entity_id"], t["token"], pool)
             elif (e.get("fake_provider") or default or "faker").lower() == "llm":
-                base = given.get(f"{t['entity_id']}|{group.strip().casefold()}")
+                base = given.get(t["model_key"])
                 if base is None:
-                    raise ValueError(f"no model value for {t['entity_id']}")
+                    return {"fakes": None, "error": f"no model value for {t['entity_id']}"}
                 fake = projected(t["entity_id"], t["text"], group, base)
             else:
                 fake = fakes.fake(t["entity_id"], t["token_id"], t["text"], group)
-            if taken.get(fake, t["token"]) != t["token"]:
-                fake = f"{fake}-{t['token_id'][:3]}"
-            taken[fake] = t["token"]
-            out.append({"token": t["token"], "fake": fake})
-        return out
+            out.append({"token": t["token"], "fake": distinct(fake, t["token"], t["token_id"], taken)})
+        return {"fakes": out, "error": None}
+
+    @F.pandas_udf("string")
+    def made_of(asked: pd.Series) -> pd.Series:  # JSON both ways: one short string a request
+        return asked.map(lambda x: None if x is None else json.dumps(one(**json.loads(x))))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            made_ = []
-            for i in range(batch.num_rows):
-                cell = lambda c, i=i: batch.column(at[c])[i].as_py()
-                made_.append(one(cell("session_id") or "", cell("fake_provider") or "", cell("tokens") or [], dict(cell(llm) or {}) if llm else {}))
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(made_, type=kind)], names=names)
+    fields = {"session": F.col("session_id"), "default": F.col("fake_provider"), "tokens": F.col("tokens"), "given": F.col(llm) if llm else F.lit(None).cast("map<string,string>")}
+    asked = F.to_json(F.struct(*(c.alias(k) for k, c in fields.items())), {"ignoreNullFields": "false"})
+    out = requests.withColumn("fakes", F.from_json(made_of(F.when(F.size("tokens") > 0, asked)), FAKES))
+    none = F.when(F.size("tokens") == 0, F.array().cast("array<struct<token:string,fake:string>>"))
+    return out.withColumns({"fake_error": F.col("fakes.error"), "fakes": F.coalesce("fakes.fakes", none)})
 
-    return requests.mapInArrow(run, schema)
+
+def model_key(entity_id: Column, group_key: Column) -> Column:
+    """By which a model's fake is asked for and found again."""
+    return F.concat_ws("|", entity_id, F.lower(F.btrim(group_key)))
 
 
 def model_fakes(groups: DataFrame, settings, model: str, client=ModelClient) -> DataFrame:
-    """(session_id, entity_id, group_key) with a model's fake: one call for each group."""
+    """(session_id, model_key) with a model's fake: one call for each; null where it fails.
+
+    groups: session_id, entity_id, group_key, model_key.
+    """
 
     def run(frames):
         server = client(settings)
+
+        def one(entity: str, value: str) -> str | None:
+            try:
+                return server.fake(entity, value, model)
+            except (OSError, ValueError):
+                return None
+
         for frame in frames:
-            frame["fake"] = [server.fake(e, g, model) for e, g in zip(frame.entity_id, frame.group_key, strict=True)]
-            yield frame
+            frame["fake"] = [one(e, g) for e, g in zip(frame.entity_id, frame.group_key, strict=True)]
+            yield frame[["session_id", "model_key", "fake"]]
 
-    distinct = groups.select("session_id", "entity_id", F.lower("group_key").alias("group_key")).distinct()
-    return distinct.mapInPandas(run, "session_id string, entity_id string, group_key string, fake string")
+    once = groups.groupBy("session_id", "model_key").agg(F.min("entity_id").alias("entity_id"), F.lower(F.min("group_key")).alias("group_key"))
+    return once.mapInPandas(run, "session_id string, model_key string, fake string")
 
 
 def replaced(text: Column, pairs: Column, old: str = "token", new: str = "fake") -> Column:

@@ -2,34 +2,45 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..functions.text import Canon, View, canon_text
+from ..functions.text import OUTER_PUNCTUATION, Canon, View, canon_text, is_ascii
 from ..schemas import SPAN
 
 
 def with_candidates(requests: DataFrame, policy: Canon = Canon(), mentions: str = "mentions") -> DataFrame:
-    """requests with every occurrence of their mentions; ordinal is a mention's place."""
-    schema = StructType([*requests.schema.fields, *StructType.fromDDL(f"candidates array<struct<{', '.join(f.replace(' ', ': ', 1) for f in SPAN.split(', '))}>>").fields])
-    at_text, at_mentions = requests.columns.index("text"), requests.columns.index(mentions)
-    kind, names = to_arrow_schema(schema).field("candidates").type, schema.names
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = []
-            for text, found in zip(batch.column(at_text), batch.column(at_mentions), strict=True):
-                text, found = text.as_py() or "", found.as_py() or []
-                view = View(text, policy) if found else None
-                out.append([{"entity_id": m["entity_id"], "text": text[a:b], "start": a, "end": b, "ordinal": i, "canon": canon_text(text[a:b], policy)} for i, m in enumerate(found) for a, b in view.find(m["text"])])
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, type=kind)], names=names)
-
-    return requests.mapInArrow(run, schema)
+    """requests with every occurrence of their mentions; ordinal is a mention's place.
+
+    Only the texts of rows with mentions go to Python, and no other column does.
+    """
+    shape = f"array<struct<{', '.join(f.replace(' ', ': ', 1) for f in SPAN.split(', '))}>>"
+    kind = to_arrow_schema(StructType.fromDDL(f"c {shape}")).field("c").type
+
+    def found_in(text: str, found: list[dict]) -> list[dict]:
+        view = View(text, policy)
+        return [{"entity_id": m["entity_id"], "text": text[a:b], "start": a, "end": b, "ordinal": i, "canon": canon_text(text[a:b], policy)} for i, m in enumerate(found) if m is not None for a, b in view.find(m["text"])]
+
+    @F.arrow_udf(shape)
+    def occurrences(texts: pa.Array, founds: pa.Array) -> pa.Array:
+        return pa.array([found_in(t, f) if t and f else [] for t, f in zip(texts.to_pylist(), founds.to_pylist(), strict=True)], type=kind)
+
+    some = F.col(mentions).isNotNull() & (F.size(mentions) > 0)
+    return requests.withColumn("candidates", F.when(some, occurrences(F.when(some, F.col("text")), F.col(mentions))).otherwise(F.array().cast(shape)))
+
+
+def possible(mentions: Column, text: Column) -> Column:
+    """Null in place of each of mentions (with field text) that a text cannot hold; places stay.
+
+    Says so only where both are ASCII and the mention has no white space, in the JVM.
+    """
+    low = F.lower(text)
+    sure = lambda m: is_ascii(m["text"]) & ~m["text"].rlike("[\\s\\x1c-\\x1f]") & ~F.contains(low, F.lower(F.btrim(m["text"], F.lit(OUTER_PUNCTUATION))))
+    kept = F.transform(mentions, lambda m: F.when(~(is_ascii(text) & sure(m)), m))
+    return F.when(F.exists(kept, lambda m: m.isNotNull()), kept)
 
 
 def resolved(candidates: Column, priority: Column | None = None) -> Column:

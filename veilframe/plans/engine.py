@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from ..functions.text import Canon
 from ..functions.tokens import PLACEHOLDER, format_token, token_id
-from ..operators import alias, chunking, mentions, render, spans
+from ..operators import alias, chunking, events, mentions, render, spans
 from ..settings import Settings
 from ..sources import extractors, templates
 
@@ -59,12 +59,10 @@ class Engine:
 
     def model_mentions(self, requests: DataFrame, template: Template, client=extractors.ModelClient) -> DataFrame:
         """Mentions by a model server, chunk by chunk; failed chunks carry an error."""
-        shape = templates.schema()["entities"].dataType.simpleString()
-        shown = self.spark.createDataFrame([(template.entities,)], f"entities {shape}")
-        prompts = self.chunks(requests).join(F.broadcast(shown))  # one row
-        prompts = prompts.select(
+        entities = templates.literal(template.entities)
+        prompts = self.chunks(requests).select(
             "request_id", "chunk_idx", F.lit(template.system).alias("system"),
-            templates.prompt(F.col("entities"), F.col("chunk"), F.col("chunk_idx"), F.col("n_chunks")).alias("prompt"), F.lit(template.model).alias("model"),
+            templates.prompt(entities, F.col("chunk"), F.col("chunk_idx"), F.col("n_chunks")).alias("prompt"), F.lit(template.model).alias("model"),
         )
         return extractors.model_mentions(prompts, self.settings, client)
 
@@ -122,36 +120,50 @@ class Engine:
         keys = F.array_distinct(F.transform(found, lambda s: s["token"]))
         return F.transform(keys, lambda k: F.element_at(F.filter(found, lambda s: s["token"] == k), -1))
 
-    def _one(self, requests: DataFrame, template: Template, found: DataFrame | None, client) -> DataFrame:
+    def _one(self, requests: DataFrame, template: Template, found: DataFrame | None, client, extractor, installed: DataFrame | None) -> DataFrame:
+        if extractor is not None:
+            asked = self.model_mentions(requests, template, extractor)
+            found = asked if found is None else asked.unionByName(found, allowMissingColumns=True)
         df = self.located(requests, template, found)
         df = df.withColumn("structural_text", spans.spliced(F.col("text"), F.col("spans"), lambda s: s["token"])).withColumn("tokens", self.tokens(F.col("spans")))
         df = df.withColumn("token_to_original", F.map_from_arrays(F.transform("tokens", lambda t: t["token"]), F.transform("tokens", lambda t: t["text"])))
         realistic = F.col("render_mode") == "realistic"
+        key = lambda t: render.model_key(t["entity_id"], F.coalesce(t["group_key"], t["token_id"]))
+        parts = ("token", "token_id", "entity_id", "text", "group_key")
+        df = df.withColumn("tokens", F.when(realistic, F.transform("tokens", lambda t: F.struct(*(t[c].alias(c) for c in parts), key(t).alias("model_key")))))
         llm = None
         if client is not None:
-            groups = df.where(realistic).select("session_id", F.explode("tokens").alias("t")).select("session_id", "t.entity_id", F.coalesce("t.group_key", "t.token_id").alias("group_key"))
-            by_session = render.model_fakes(groups, self.settings, template.model, client).groupBy("session_id").agg(
-                F.map_from_entries(F.collect_list(F.struct(F.concat_ws("|", "entity_id", "group_key"), "fake"))).alias("llm")
+            groups = df.select("session_id", F.explode("tokens").alias("t")).select("session_id", "t.entity_id", F.coalesce("t.group_key", "t.token_id").alias("group_key"), "t.model_key")
+            by_session = render.model_fakes(groups, self.settings, template.model, client).where("fake is not null").groupBy("session_id").agg(
+                F.map_from_entries(F.collect_list(F.struct("model_key", "fake"))).alias("llm")
             )
             df, llm = df.join(by_session, "session_id", "left"), "llm"
-        df = df.withColumn("tokens", F.when(realistic, F.col("tokens")))
         df = render.with_fakes(df, template.entities, template.providers, llm)
         to_fake = F.when(realistic, F.map_from_arrays(F.transform("fakes", lambda f: f["token"]), F.transform("fakes", lambda f: f["fake"])))
         to_token = F.when(realistic, F.map_from_arrays(F.transform("fakes", lambda f: f["fake"]), F.transform("fakes", lambda f: f["token"])))
+        resolved, quantization = self.runtime(template, installed)
         meta = F.struct(
             "session_id", "template_id", F.lit(template.version).alias("template_version"), "render_mode", "fake_provider",
-            F.struct(F.lit(template.model).alias("requested_model"), F.lit(None).cast("string").alias("resolved_model"), F.lit(None).cast("string").alias("quantization_level")).alias("model_runtime"),
+            F.struct(F.lit(template.model).alias("requested_model"), F.lit(resolved).cast("string").alias("resolved_model"), F.lit(quantization).cast("string").alias("quantization_level")).alias("model_runtime"),
         )
-        error = F.lit(None).cast("string")
         out = df.select(
             "request_id", "session_id",
             F.when(realistic, render.replaced(F.col("structural_text"), F.col("fakes"))).otherwise(F.col("structural_text")).alias("anonymized_text"),
-            "structural_text", "spans", "token_to_original", to_fake.alias("token_to_fake"), to_token.alias("fake_to_token"), meta.alias("meta"), error.alias("error"),
+            "structural_text", "spans", "token_to_original", to_fake.alias("token_to_fake"), to_token.alias("fake_to_token"), meta.alias("meta"),
+            F.lit(None).cast("string").alias("error"), F.col("fake_error").alias("failed"),
         )
-        if found is None or "error" not in found.columns:
-            return out
-        failed = found.where("error is not null").groupBy("request_id").agg(F.min("error").alias("failed"))
-        return self._failed(out.join(failed, "request_id", "left"))
+        if found is not None and "error" in found.columns:
+            chunk = found.where("error is not null").groupBy("request_id").agg(F.min("error").alias("chunk_error"))
+            out = out.join(chunk, "request_id", "left").withColumn("failed", F.coalesce("chunk_error", "failed")).drop("chunk_error")
+        return self._failed(out)
+
+    def runtime(self, template: Template, installed: DataFrame | None) -> tuple[str | None, str | None]:
+        """Name and quantisation of the installed model that a template's model stands for."""
+        if installed is None or template.model is None:
+            return None, None
+        asked = self.spark.createDataFrame([(template.model,)], "model string")
+        row = templates.resolved_models(asked, installed, prefer_latest=False).first()
+        return row.resolved, row.quantization
 
     @staticmethod
     def _failed(out: DataFrame) -> DataFrame:
@@ -159,13 +171,15 @@ class Engine:
         keep = ("request_id", "session_id", "meta", "error")
         return out.select(*(F.coalesce("failed", "error").alias(c) if c == "error" else F.col(c) if c in keep else F.when(F.col("failed").isNull(), F.col(c)).alias(c) for c in out.columns if c != "failed"))
 
-    def anonymize(self, requests: DataFrame, found: DataFrame | None = None, client=None) -> DataFrame:
+    def anonymize(self, requests: DataFrame, found: DataFrame | None = None, client=None, extractor=None, installed: DataFrame | None = None) -> DataFrame:
         """Results of all requests; those with an unknown template carry an error.
 
-        found: mentions of schemas.MENTIONS from a model. client: model client class for
-        fake_provider llm.
+        found: mentions of schemas.MENTIONS from a model, with an error column or without.
+        extractor: model client class that finds mentions, chunk by chunk; a request with a
+        failed chunk carries its error. client: model client class for fake_provider llm.
+        installed: templates.model_names() of the model server, for the runtime information.
         """
-        parts = [self._one(requests.where(F.col("template_id") == t.template_id), t, found, client) for t in self.templates.values()]
+        parts = [self._one(requests.where(F.col("template_id") == t.template_id), t, found, client, extractor, installed) for t in self.templates.values()]
         known = F.coalesce(F.col("template_id").isin(list(self.templates)), F.lit(False)) if self.templates else F.lit(False)
         out = mentions.merged(*parts) if parts else None
         lost = requests.where(~known)
@@ -173,3 +187,13 @@ class Engine:
             return lost.select("request_id", "session_id", F.lit("template_not_found").alias("error"))
         lost = lost.select(*(F.col(c) if c in ("request_id", "session_id") else F.lit("template_not_found").alias(c) if c == "error" else F.lit(None).cast(out.schema[c].dataType).alias(c) for c in out.columns))
         return out.unionByName(lost)
+
+    def playback(self, requests: DataFrame, *args, **options) -> DataFrame:
+        """Events of structural and realistic results, both from one extraction.
+
+        requests: as for anonymize, whose other arguments follow; token_delay_ms where it exists.
+        """
+        delay = F.col("token_delay_ms") if "token_delay_ms" in requests.columns else F.lit(None).cast("int")
+        given = requests.select("request_id", F.col("template_id").alias("asked"), delay.alias("token_delay_ms"))
+        out = self.anonymize(requests.withColumn("render_mode", F.lit("realistic")), *args, **options).join(given, "request_id")
+        return events.playback(out.withColumns({"realistic_text": F.col("anonymized_text"), "template_id": F.col("asked")}))

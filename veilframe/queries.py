@@ -131,15 +131,15 @@ def token_ids(spark, sf_dir):
     return c.withColumn("token", format_token("<<{ENTITY}:{ID}>>", F.lit("PERSON"), F.col("token_id")))
 
 
-_WORDS = ["idiot", "Moron", "that"]
+_WORDS = ["idiot", "Moron", "that", "the."]
 
 
-@query(f"""WITH places AS (SELECT doc_id, text, w, unnest(range(1, length(text) - length(w) + 2)) AS i FROM documents, (VALUES {', '.join(f"('{w}')" for w in _WORDS)}) e(w))
-SELECT doc_id, w AS entity, CAST(i - 1 AS INT) AS start, CAST(i - 1 + length(w) AS INT) AS "end" FROM places
+@query(f"""WITH places AS (SELECT doc_id, text, shown, w, unnest(range(1, length(text) - length(w) + 2)) AS i FROM documents, (VALUES {', '.join(f"('{w}', '{w.strip('.')}')" for w in _WORDS)}) e(shown, w))
+SELECT doc_id, shown AS entity, CAST(i - 1 AS INT) AS start, CAST(i - 1 + length(w) AS INT) AS "end" FROM places
 WHERE lower(substr(text, i, length(w))) = lower(w) AND NOT regexp_matches(CASE WHEN i > 1 THEN substr(text, i - 1, 1) ELSE '' END, '[\\p{{L}}\\p{{N}}]') AND NOT regexp_matches(substr(text, i + length(w), 1), '[\\p{{L}}\\p{{N}}]')""")
 def find_spans(spark, sf_dir):
     listed = F.array(*(F.struct(F.lit(i).alias("ordinal"), F.lit("WORD").alias("entity_id"), F.lit(w).alias("text")) for i, w in enumerate(_WORDS)))
-    df = spans.with_candidates(table(spark, sf_dir, "documents").select("doc_id", "text", listed.alias("mentions")))
+    df = spans.with_candidates(table(spark, sf_dir, "documents").select("doc_id", "text", spans.possible(listed, F.col("text")).alias("mentions")))
     return df.select("doc_id", F.explode("candidates").alias("c")).select("doc_id", F.get(F.lit(_WORDS), F.col("c.ordinal")).alias("entity"), "c.start", "c.end")
 
 
@@ -197,34 +197,39 @@ def token_to_original(spark, sf_dir):
     return seen.select("user_id", F.posexplode(Engine.tokens(F.col("spans"))).alias("pos", "t")).select("user_id", F.col("pos").cast("long").alias("pos"), "t.token", F.col("t.text").alias("original"))
 
 
-_PACKED = """WITH d AS (SELECT source, lang, string_agg(text, chr(10) || chr(10) ORDER BY doc_id) AS text FROM documents GROUP BY source, lang),
-p AS (SELECT source, lang, list_transform(string_split(text, chr(10) || chr(10)), lambda x: {'done': CAST([] AS VARCHAR[]), 'cur': x, 'n': length(x) + 2}) AS ps FROM d),
-f AS (SELECT source, lang, list_reduce(ps, lambda a, x: CASE WHEN a.n + x.n > 8000 THEN {'done': list_append(a.done, a.cur), 'cur': x.cur, 'n': x.n}
+_PACKED = """WITH p AS (SELECT doc_id, list_transform(string_split(replace(text, '. ', '.' || chr(10) || chr(10)), chr(10) || chr(10)), lambda x: {'done': CAST([] AS VARCHAR[]), 'cur': x, 'n': length(x) + 2}) AS ps FROM documents),
+f AS (SELECT doc_id, list_reduce(ps, lambda a, x: CASE WHEN a.n + x.n > 800 THEN {'done': list_append(a.done, a.cur), 'cur': x.cur, 'n': x.n}
   ELSE {'done': a.done, 'cur': a.cur || chr(10) || chr(10) || x.cur, 'n': a.n + x.n} END) AS r FROM p),
-c AS (SELECT source, lang, list_append(r.done, r.cur) AS cs FROM f),
-u AS (SELECT source, lang, unnest(cs) AS chunk, generate_subscripts(cs, 1) - 1 AS chunk_idx FROM c)
+c AS (SELECT doc_id, list_append(r.done, r.cur) AS cs FROM f),
+u AS (SELECT doc_id, unnest(cs) AS chunk, generate_subscripts(cs, 1) - 1 AS chunk_idx FROM c)
 """
 
 
-def _joined(spark, sf_dir) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").groupBy("source", "lang").agg(F.array_sort(F.collect_list(F.struct("doc_id", "text"))).alias("d"))
-    return docs.select("source", "lang", F.array_join(F.transform("d", lambda x: x["text"]), "\n\n").alias("text"))
+def _paragraphs(spark, sf_dir) -> DataFrame:
+    """Documents with a paragraph for each sentence, so that each has many."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.replace("text", F.lit(". "), F.lit(".\n\n")).alias("text"))
 
 
-@query(_PACKED + "SELECT source, lang, chunk_idx, md5(chunk) AS chunk_md5 FROM u")
+@query(_PACKED + "SELECT doc_id, chunk_idx, md5(chunk) AS chunk_md5 FROM u")
 def chunk_pack(spark, sf_dir):
-    df = _joined(spark, sf_dir).select("source", "lang", F.posexplode(chunking.by_paragraphs(F.col("text"), 8000)).alias("chunk_idx", "chunk"))
-    return df.select("source", "lang", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.md5("chunk").alias("chunk_md5"))
+    df = _paragraphs(spark, sf_dir).select("doc_id", F.posexplode(chunking.by_paragraphs(F.col("text"), 800)).alias("chunk_idx", "chunk"))
+    return df.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.md5("chunk").alias("chunk_md5"))
 
 
-@query(_PACKED + "SELECT source, lang, chunk_idx, md5(coalesce(right(lag(chunk) OVER (PARTITION BY source, lang ORDER BY chunk_idx), 200), '') || chunk) AS chunk_md5 FROM u")
+@query(_PACKED + "SELECT doc_id, chunk_idx, md5(coalesce(right(lag(chunk) OVER (PARTITION BY doc_id ORDER BY chunk_idx), 200), '') || chunk) AS chunk_md5 FROM u")
 def chunk_overlap(spark, sf_dir):
-    df = _joined(spark, sf_dir).withColumn("cs", chunking.by_paragraphs(F.col("text"), 8000))
-    df = df.select("source", "lang", F.posexplode(chunking.overlapped(F.col("cs"), 200)).alias("chunk_idx", "chunk"))
-    return df.select("source", "lang", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.md5("chunk").alias("chunk_md5"))
-
-
-@query()
+    df = _paragraphs(spark, sf_dir).withColumn("cs", chunking.by_paragraphs(F.col("text"), 800))
+    df = df.select("doc_id", F.posexplode(chunking.overlapped(F.col("cs"), 200)).alias("chunk_idx", "chunk"))
+    return df.select("doc_id", F.col("chunk_idx").cast("long").alias("chunk_idx"), F.md5("chunk").alias("chunk_md5"))
+
+
+@query("""WITH p AS (SELECT doc_id, text, list_transform(list_filter(regexp_extract_all(text, '(?s)(?:[.!?][^.!?]*|[^.!?]+)[.!?]|[.!?]?[^.!?]+$|[.!?]$'), lambda x: x <> ''),
+  lambda x: regexp_replace(x, '^\\s+|\\s+$', '', 'g')) AS ss FROM documents),
+q AS (SELECT doc_id, text, list_transform(ss, lambda x: {'done': CAST([] AS VARCHAR[]), 'cur': x, 'n': length(x) + 1}) AS ps FROM p),
+f AS (SELECT doc_id, text, len(ps) AS k, list_reduce(ps, lambda a, x: CASE WHEN a.n + x.n > 2000 THEN {'done': list_append(a.done, a.cur), 'cur': x.cur, 'n': x.n}
+  ELSE {'done': a.done, 'cur': a.cur || ' ' || x.cur, 'n': a.n + x.n} END) AS r FROM q WHERE len(ps) > 0),
+c AS (SELECT doc_id, list_append(r.done, r.cur) AS cs FROM f UNION ALL SELECT doc_id, [text] FROM q WHERE len(ps) = 0)
+SELECT doc_id, CAST(generate_subscripts(cs, 1) - 1 AS INT) AS chunk_idx, md5(unnest(cs)) AS chunk_md5 FROM c""")
 def chunk_sentences(spark, sf_dir):
     df = table(spark, sf_dir, "documents").select("doc_id", F.posexplode(chunking.by_sentences(F.col("text"), 2000)).alias("chunk_idx", "chunk"))
     return df.select("doc_id", "chunk_idx", F.md5("chunk").alias("chunk_md5"))
@@ -353,12 +358,11 @@ def sse_parse(spark, sf_dir):
 def playback(spark, sf_dir):
     c = table(spark, sf_dir, "conversations")
     req = c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("request_id"), F.col("conv_id").cast("string").alias("session_id"), F.lit("rules").alias("template_id"), "text", F.lit("realistic").alias("render_mode"), F.lit("faker").alias("fake_provider"), F.col("turn").alias("seq"))
-    out = _engine(spark).anonymize(req).withColumns({"realistic_text": F.col("anonymized_text"), "token_delay_ms": F.lit(25), "template_id": F.col("meta.template_id")})
-    return events.playback(out)
+    return _engine(spark).playback(req)
 
 
-@query(f"""SELECT doc_id, CAST(least(100, floor(100.0 * coalesce(list_sum(list_transform(list_distinct(m), lambda x: length(x))), 0) / greatest(length(text), 1) + 0.5)) AS INT) AS coverage
-FROM (SELECT doc_id, text, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents)""")
+@query(f"""SELECT doc_id, CAST(least(100, floor(100.0 * coalesce(list_sum(list_transform(list_distinct(m), lambda x: length(x))), 0) / greatest(units, 1) + 0.5)) AS INT) AS coverage
+FROM (SELECT doc_id, length(text) + length(regexp_replace(text, '[^\\x{{10000}}-\\x{{10FFFF}}]', '', 'g')) AS units, regexp_extract_all(text, '{_EMAIL}') AS m FROM documents)""")
 def coverage_kpi(spark, sf_dir):
     own = F.array_distinct(rules.emails(F.col("text")))
     return table(spark, sf_dir, "documents").select("doc_id", events.coverage(F.col("text"), F.map_from_arrays(own, own)).alias("coverage"))
@@ -371,9 +375,8 @@ _DEMO = [{"id": "PERSON", "enabled": True, "instructions": "Names of people.", "
   || 'Answer with JSON only: {"entities": [{"entity_id": "<ID>", "text": "<AS WRITTEN>"}]}' || chr(10) || 'Allowed ids: PERSON' || chr(10) || 'Give each text exactly as it is written; no offsets, scores or further fields; invent nothing.' || chr(10) || chr(10)
   || CASE WHEN turn = 0 THEN 'TEXT:' ELSE 'TEXT (chunk ' || turn || ' of ' || (turn + 1) || '):' END || chr(10) || text) AS prompt_md5 FROM conversations""")
 def prompt_compile(spark, sf_dir):
-    shown = spark.createDataFrame([(_DEMO,)], f"entities {templates.schema()['entities'].dataType.simpleString()}")
-    c = table(spark, sf_dir, "conversations").join(F.broadcast(shown))  # one row
-    return c.select("conv_id", "turn", F.md5(templates.prompt(F.col("entities"), F.col("text"), F.col("turn") - 1, F.col("turn") + 1)).alias("prompt_md5"))
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", F.md5(templates.prompt(templates.literal(_DEMO), F.col("text"), F.col("turn") - 1, F.col("turn") + 1)).alias("prompt_md5"))
 
 
 @query("""SELECT 't' || n_nationkey AS template_id, (n_regionkey % 2 = 1 AND n_nationkey % 3 > 0) AS valid, CAST((n_regionkey % 2 = 0)::INT + (n_nationkey % 3 = 0)::INT * 2 AS INT) AS n_errors FROM nation""")

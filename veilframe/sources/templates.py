@@ -164,6 +164,11 @@ def delete(template_id: str, folder: str) -> None:
     Path(folder, f"{template_id}.json").unlink()  # FileNotFoundError if there is none
 
 
+def literal(entities: list[dict]) -> Column:
+    """A template's entities as a literal column."""
+    return F.from_json(F.lit(json.dumps(entities)), schema()["entities"].dataType)
+
+
 def enabled_ids(entities: Column) -> Column:
     return F.transform(F.filter(entities, lambda e: e["enabled"]), lambda e: e["id"])
 
