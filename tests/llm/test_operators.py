@@ -115,6 +115,59 @@ def test_html():
         html_text.extract(broken)
 
 
+def test_all_visible_text():
+    get = html_text.extract
+    assert get('<div style="visibility:hidden">a<b style="color:red; visibility: visible">b</b>c</div>d') == "b\nd"
+    assert get('<svg><title>t</title><text>in <tspan>a</tspan></text> no <text>two</text></svg> after') == "in a two after"
+    assert get("<object data=x>fallback</object><math><mi>x</mi><annotation>n</annotation></math>") == "fallbackx"
+    assert get('<input value="v"><input type=hidden value=h><input type=submit><input placeholder=p><input type=password value=s>') == "v Submit p"
+    assert get("<table><colgroup>stray<col><tr><td>c</table>") == "stray\n\nc"
+    assert get('<p aria-hidden="true">drawn</p><p style="display:none">no') == "drawn"
+    assert get('<table style="visibility:hidden"><tr><td>x<td style="visibility:visible">y</table>') == "y"
+    for n in (40, 200, 3000):  # nested tables keep their text, whatever their depth
+        assert get("<table><tr><td>" * n + "deep" + "</table>" * n).split() == ["deep"]
+
+
+def test_words_of_pages_against_another_parser(spark):
+    """The words shown, in order, by the library's event parser with a stack of its own."""
+    from html.parser import HTMLParser
+
+    class Words(HTMLParser):
+        def __init__(self):
+            super().__init__(convert_charrefs=True)
+            self.words, self.off = [], []
+
+        def handle_starttag(self, tag, attrs):
+            attrs = dict(attrs)
+            if tag in ("script", "style", "template", "title", "head", "noscript", "iframe", "svg") or (tag not in html_text.VOID and ("hidden" in attrs or "display:none" in (attrs.get("style") or "").replace(" ", ""))):
+                self.off.append(tag)
+            elif self.off and tag == self.off[-1]:
+                self.off.append(tag)
+            if tag == "body":
+                self.off = [x for x in self.off if x != "head"]
+            if tag == "img" and not self.off:
+                self.words += (attrs.get("alt") or "").split()
+
+        def handle_endtag(self, tag):
+            if self.off and self.off[-1] == tag:
+                self.off.pop()
+
+        def handle_data(self, data):
+            if not self.off:
+                self.words += data.split()
+
+    marks = re.compile(r"(?m)^\s*(?:- |[0-9]+\. )")
+    same = n = 0
+    for r in spark.read.parquet("/root/testdata/sf0.1/pages.parquet").collect():
+        other = Words()
+        other.feed(r.html)
+        other.close()
+        squeezed = lambda ws: Counter("".join(ws))
+        mine = squeezed(marks.sub(" ", html_text.extract(r.html)).split())
+        n, same = n + 1, same + (mine == squeezed(marks.sub(" ", "\n".join(other.words)).split()))
+    assert n == 2500 and same >= 0.98 * n
+
+
 def test_html_frame(spark, empty):
     df = spark.createDataFrame([(1, None, 2), (1, None, 2), (3, "<p>x", 4)], "page_id long, html string, text int")
     assert sorted(r._text for r in html_text.extracted(df).collect()) == ["", "", "x"]

@@ -3,8 +3,12 @@
 A tree builder takes the tags of a page, adds the tags that HTML implies (a paragraph
 ends where a block begins, a list item where the next begins, cells, rows and table
 sections end one another, head and body appear by themselves) and closes what is open
-at an end tag. The renderer walks the tree without recursion: elements that are not shown (script,
-style, template, head, hidden and display:none ones and the like) give nothing; blocks
+at an end tag. As in browsers, elements deeper than MAX_DEPTH become siblings at that depth, so
+tables nest a bounded number of times. The renderer emits what a browser without network and with
+scripts would draw: elements that are not shown (script, style, template, head, hidden and
+display:none ones and the like) give nothing; visibility:hidden is inherited and hides text until
+visibility:visible; of SVG the text elements count, of form fields the value (or placeholder), of
+objects the fallback; text that only screen readers skip (aria-hidden) is drawn. Blocks
 stand on lines of their own, paragraphs and headings with a blank line between; list
 items get a bullet or their number and are indented by their depth; the cells of a table
 are padded to the width of their column; preformatted text keeps its white space.
@@ -32,7 +36,11 @@ from .common import fresh, table
 # The elements of HTML by their part in parsing and layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("script style template noscript head title meta link iframe object svg math canvas audio video datalist noembed noframes".split())
+UNSEEN = frozenset("script style template noscript head title desc metadata defs symbol meta link iframe canvas audio video datalist noembed noframes annotation annotation-xml".split())
+FIELDS = frozenset("text search email url tel number date time month week datetime-local submit reset button".split())
+LABELS = {"submit": "Submit", "reset": "Reset"}
+#: Deeper elements become siblings at this depth.
+MAX_DEPTH = 512
 BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol option optgroup p pre search section select summary table tbody td tfoot th thead tr ul caption".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset".split())
 ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section table ul li dd dt".split())
@@ -53,7 +61,8 @@ IMPLIED_ENDS = {
 }
 TOKEN = regex.compile(r"<!--.*?(?:-->|\Z)|<(?P<end>/?)(?P<tag>[a-zA-Z][^\s/>]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<[!?/][^>]*(?:>|\Z)", regex.S)
 ATTR = regex.compile(r"([^\s=/>\"']+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
-HIDING = regex.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", regex.I)
+HIDING = regex.compile(r"(?:^|;)\s*display\s*:\s*none", regex.I)
+VISIBILITY = regex.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", regex.I)
 SPACE = regex.compile(r"[ \t\n\f\r]+")
 
 
@@ -158,21 +167,35 @@ def build(html: str) -> Node:
             stack[-1].items.append(node)
             at = (html.find(">", stop) + 1 or len(html)) if end else len(html)
         else:
+            if len(stack) > MAX_DEPTH:
+                close(len(stack) - 1)
             push(Node(tag, attrs))
     return root
 
 
 def shown(node: Node) -> bool:
     a = node.attrs
-    if node.tag in UNSEEN or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
-        return False
-    if node.tag == "input":
+    if node.tag in UNSEEN or "hidden" in a:
         return False
     if node.tag == "dialog" and "open" not in a:
         return False
     return not ("style" in a and HIDING.search(a["style"]))
 
 
+def visible(node: Node, inherited: bool) -> bool:
+    """Whether text of a shown node is drawn."""
+    found = VISIBILITY.findall(node.attrs["style"]) if "style" in node.attrs else ()
+    return found[-1].lower() == "visible" if found else inherited
+
+
+def field_text(node: Node) -> str:
+    """What a form field shows."""
+    kind = node.attrs.get("type", "text").lower()
+    if kind not in FIELDS:
+        return node.attrs.get("alt", "") if kind == "image" else "" if kind in ("hidden", "password", "checkbox", "radio", "file", "range", "color") else node.attrs.get("value", "")
+    return node.attrs.get("value") or (node.attrs.get("placeholder", "") if kind not in ("submit", "reset", "button") else LABELS.get(kind, ""))
+
+
 def width(text: str) -> int:
     """Columns that a text takes: wide characters two, combining ones none."""
     if text.isascii():
@@ -229,49 +252,46 @@ class Page:
         self.gap |= spaced and bool(self.lines)
 
 
-def _cells(node: Node) -> tuple[list[list[Node]], list[Node]]:
-    """Rows of cells of a table, nested tables not entered, and its captions."""
-    rows, captions, todo = [], [], [node]
+def _cells(node: Node, seen: bool) -> tuple[list[list[tuple[Node, bool]]], list[tuple[Node, bool]]]:
+    """Rows of cells of a table, nested tables not entered, and its captions, each with whether it is visible."""
+    rows, captions, todo = [], [], [(node, seen)]
     while todo:
-        n = todo.pop()
+        n, here = todo.pop()
         for x in reversed(n.items):
             if isinstance(x, Node) and shown(x) and x.tag in ("thead", "tbody", "tfoot", "tr", "caption"):
-                todo.append(x)
+                todo.append((x, visible(x, here)))
         if n.tag == "tr":
-            rows.append([x for x in n.items if isinstance(x, Node) and x.tag in ("td", "th") and shown(x)])
+            rows.append([(x, visible(x, here)) for x in n.items if isinstance(x, Node) and x.tag in ("td", "th") and shown(x)])
         elif n.tag == "caption":
-            captions.append(n)
+            captions.append((n, here))
     return rows, captions
 
 
-def _stray(node: Node) -> list:
+def _stray(node: Node, seen: bool) -> list:
     """What stands in a table outside its cells; browsers show it before the table."""
-    out, todo = [], [node]
+    out, todo = [], [(node, seen)]
     while todo:
-        n = todo.pop()
+        n, here = todo.pop()
         for x in n.items:
             if isinstance(x, str):
-                if x.strip():
-                    out.append(x)
-            elif x.tag in ("thead", "tbody", "tfoot", "tr"):
+                if x.strip() and here:
+                    out.append((x, here))
+            elif x.tag in ("thead", "tbody", "tfoot", "tr", "colgroup"):
                 if shown(x):
-                    todo.append(x)
-            elif x.tag not in ("td", "th", "caption", "colgroup", "col"):
-                out.append(x)
+                    todo.append((x, visible(x, here)))
+            elif x.tag not in ("caption", "col") and (n.tag != "tr" or x.tag not in ("td", "th")):
+                out.append((x, here))
     return out
 
 
-MAX_NESTED = 40  # deeper tables are laid out as plain blocks; their text stays
-
-
-def render(root: Node, nested: int = 0, pre: bool = False) -> str:
-    """All visible text below a node, laid out in lines."""
+def render(root: Node, pre: bool = False, seen: bool = True) -> str:
+    """All visible text below a node, laid out in lines. Only tables recurse, MAX_DEPTH / 2 deep at most."""
     page = Page()
     lists: list[list] = []  # kind and next number of the open lists
-    todo: list = [("open", x) for x in reversed(root.items)] if shown(root) else []
+    todo: list = [("open", x, seen, False) for x in reversed(root.items)] if shown(root) else []
     deep = 1 if pre else 0
     while todo:
-        what, x = todo.pop()
+        what, x, here, drawing = todo.pop()
         if what == "leave":
             tag, undo = x
             page.block(tag in SPACED and not (tag in ("ul", "ol") and len(lists) > 1))
@@ -286,41 +306,51 @@ def render(root: Node, nested: int = 0, pre: bool = False) -> str:
                 page.mark = ""
             continue
         if isinstance(x, str):
-            page.text(x, deep > 0)
+            if here and not drawing:
+                page.text(x, deep > 0)
             continue
         if not shown(x):
             continue
-        tag = x.tag
+        tag, here = x.tag, visible(x, here)
         if tag == "br":
             page.newline(True)
             continue
         if tag == "hr":
             page.block(True)
             continue
-        if tag == "img":
-            page.text(x.attrs.get("alt", ""), False)
+        if tag in ("img", "input"):
+            if here:
+                label = x.attrs.get("alt", "") if tag == "img" else field_text(x)
+                page.text(label if tag == "img" else f" {label} ", False)
             continue
-        if tag == "table" and nested < MAX_NESTED:
-            for y in _stray(x):
+        if tag == "table":
+            for y, own in _stray(x, here):
                 if isinstance(y, str):
                     page.text(y, False)
                 else:
                     page.block(False)
-                    page.text(render_one(y, nested + 1), True)
+                    page.text(render_one(y, own), True)
             page.block(True)
-            rows, captions = _cells(x)
-            for c in captions:
-                page.text(render(c, nested + 1), True)
+            rows, captions = _cells(x, here)
+            for c, own in captions:
+                page.text(render(c, seen=own), True)
                 page.newline()
-            for line in grid([[render(c, nested + 1).split("\n") for c in row] for row in rows], rows):
+            for line in grid([[render(c, seen=own).split("\n") for c, own in row] for row in rows], [[c for c, _ in row] for row in rows]):
                 page.put(line)
                 page.newline()
             page.block(True)
             continue
+        if tag == "svg":  # of a drawing only text elements and embedded HTML hold text
+            todo.extend(("open", y, here, True) for y in reversed(x.items))
+            continue
+        if drawing and tag in ("text", "foreignobject"):
+            page.space = bool(page.line)
+            drawing = False
         if tag not in BLOCK:
-            if tag in ("q",):
+            if tag == "q" and here:
                 page.text('"', False)
-            todo.extend(("open", y) for y in reversed(x.items))
+                todo.append(("open", '"', here, drawing))
+            todo.extend(("open", y, here, drawing) for y in reversed(x.items))
             continue
         page.block(tag in SPACED and not (tag in ("ul", "ol") and lists))
         undo = ""
@@ -336,8 +366,8 @@ def render(root: Node, nested: int = 0, pre: bool = False) -> str:
             page.indent, undo = page.indent + 1, "quote"
         elif tag == "pre":
             deep, undo = deep + 1, "pre"
-        todo.append(("leave", (tag, undo)))
-        todo.extend(("open", y) for y in reversed(x.items))
+        todo.append(("leave", (tag, undo), here, drawing))
+        todo.extend(("open", y, here, drawing) for y in reversed(x.items))
     page.newline()
     while page.lines and not page.lines[-1]:
         page.lines.pop()
@@ -345,10 +375,10 @@ def render(root: Node, nested: int = 0, pre: bool = False) -> str:
     return "\n".join(page.lines[start:])
 
 
-def render_one(node: Node, nested: int) -> str:
+def render_one(node: Node, seen: bool) -> str:
     top = Node("div")
     top.items.append(node)
-    return render(top, nested)
+    return render(top, seen=seen)
 
 
 def grid(cells: list[list[list[str]]], rows: list[list[Node]]) -> list[str]:
