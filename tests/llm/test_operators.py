@@ -272,7 +272,13 @@ def test_toxicity(spark, docs, empty, clashing):
         rows.append((" ".join(words), int(toxic)))
     weights = toxicity.fit(rows)
     assert weights["idiot"] > 1 and abs(weights.get("muslims", 0)) < 0.25 * weights["idiot"]
+    score = lambda t, w: 1 / (1 + np.exp(-w[""] - sum(w.get(f, 0) for f in toxicity.features(t))))
+    moved = lambda w: max(abs(score(f"{a} town muslims {b}", w) - score(f"{a} town jews {b}", w)) for a in ("quiet", "evening") for b in ("rain", "harvest"))
+    assert moved(weights) < 0.1 and toxicity.neighbours(["a", "jews", "b"]) == {"jews|a", "jews|b"}
+    pairs = toxicity.counterfactual_pairs(["The jews met. A muslim came! Rain fell."], np.random.default_rng(1))
+    assert len(pairs) == 2 and all(a != b and "jews" not in b and "muslim" not in b for a, b in pairs)
     old, toxicity.COUNTERFACTUAL = toxicity.COUNTERFACTUAL, 0.0
+    assert moved(toxicity.fit(rows)) > moved(weights)
     assert abs(toxicity.fit(rows).get("muslims", 0)) > abs(weights.get("muslims", 0))
     toxicity.COUNTERFACTUAL = old
     got = toxicity.scored(clashing, weights).collect()

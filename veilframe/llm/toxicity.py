@@ -1,11 +1,13 @@
 """Toxicity by a counterfactual-regularised logistic classifier.
 
-The classifier reads which distinct words a text has. It is fitted on the driver on a
-bounded sample of labelled rows (SAMPLE, by a hash of the id) with terms chosen by their
-association with the label. For labelled sentences, counterfactual sentences are made by
-swapping identity terms (or, where a sentence has none, by mentioning one or another in
-it); the squared change of the score between a sentence and its counterfactual is added
-to the loss, so that naming a group does not move a score.
+The classifier reads which distinct words a text has, and which words stand right before
+and after each mention of a group ("muslims|scum"). It is fitted on the driver on a bounded
+sample of labelled rows (SAMPLE, by a hash of the id) with terms chosen by their association
+with the label. Of every sentence of these rows that names a group a counterfactual is
+made by swapping each identity term for another of its kind (for rows that name none,
+one sentence gets a mention). The squared change of the sentence's score (0 to 1, all its
+features counted) is added to the loss, so that naming one group or another does not move
+a score; what a sentence says beside a mention decides how much the mention could.
 
 Scoring reads whole texts in one pass with no shuffle; the model is a few thousand
 weights. Labels are learned only from rows with crc32(doc_id as text) mod 5 not 0.
@@ -18,6 +20,7 @@ equal scores; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -31,7 +34,8 @@ from .common import fresh, split_words, table
 SAMPLE = 6_000
 MAX_TERMS = 3_000
 MIN_DOCS = 4
-RIDGE, COUNTERFACTUAL, STEPS = 2.0, 4.0, 250
+RIDGE, COUNTERFACTUAL, STEPS = 2.0, 16.0, 250
+SENTENCE = re.compile(r"[^.!?\n]+")
 EDGE = ".,;:!?\"'()[]{}<>*#$%&|_-+=~`“”‘’«»¡¿…"
 # Terms that name groups, by kind and language.
 IDENTITY_TERMS = [
@@ -54,6 +58,25 @@ def terms(text: str | None) -> set[str]:
     return {w.strip(EDGE) for w in set(split_words((text or "").lower()))} - {""}
 
 
+def ordered_terms(text: str) -> list[str]:
+    return [t for w in split_words(text.lower()) if (t := w.strip(EDGE))]
+
+
+def neighbours(words: list[str]) -> set[str]:
+    """An identity term with the word before or after it."""
+    out = set()
+    for i, w in enumerate(words):
+        if w in GROUP:
+            out |= {f"{w}|{words[j]}" for j in (i - 1, i + 1) if 0 <= j < len(words)}
+    return out
+
+
+def features(text: str | None) -> set[str]:
+    """Terms, and for texts that name a group its neighbours."""
+    found = terms(text)
+    return found if found.isdisjoint(GROUP) else found | neighbours(ordered_terms(text))
+
+
 def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % 5 == 0, F.lit(True))
 
@@ -74,39 +97,43 @@ def chosen_terms(docs: list[np.ndarray], names: list[str], labels: np.ndarray) -
     return [*GROUP, *(w for _, w in telling[: MAX_TERMS - len(GROUP)])]
 
 
-def counterfactual_pairs(sentences: list[set[str]], rng: np.random.Generator) -> list[tuple[set[str], set[str]]]:
-    """Identity terms of labelled sentences, and other terms in their place.
-
-    The rest of a sentence is the same on both sides and cancels in a score's change.
-    """
+def counterfactual_pairs(texts: list[str], rng: np.random.Generator) -> list[tuple[set[str], set[str]]]:
+    """Features of sentences and of their counterfactuals: every sentence that names a group,
+    with each mention swapped for another of its kind; of a text without any, one sentence
+    with a mention at a random place, swapped likewise."""
     out = []
-    for words in sentences:
-        own = sorted(words)
-        if own:
-            swapped = {IDENTITY_TERMS[GROUP[t]][int(rng.integers(len(IDENTITY_TERMS[GROUP[t]])))] for t in own}
-            out.append((words, words - set(own) | swapped))
-        else:
-            group = IDENTITY_TERMS[int(rng.integers(len(IDENTITY_TERMS)))]
-            a, b = rng.choice(len(group), 2, replace=False)
-            out += [(words | {group[a]}, words | {group[b]}), (words, words | {group[a]})]
+
+    def other(t: str) -> str:
+        kind = [x for x in IDENTITY_TERMS[GROUP[t]] if x != t]
+        return kind[int(rng.integers(len(kind)))]
+
+    for text in texts:
+        sentences = [ordered_terms(x) for x in SENTENCE.findall(text)]
+        named = [x for x in sentences if not GROUP.keys().isdisjoint(x)]
+        if not named and (said := [x for x in sentences if x]):
+            one = said[int(rng.integers(len(said)))]
+            kind = IDENTITY_TERMS[int(rng.integers(len(IDENTITY_TERMS)))]
+            at = int(rng.integers(len(one) + 1))
+            named = [[*one[:at], kind[int(rng.integers(len(kind)))], *one[at:]]]
+            out.append((set(one), set(named[0]) | neighbours(named[0])))  # nor does a mention as such
+        for words in named:
+            swapped = [other(w) if w in GROUP else w for w in words]
+            out.append((set(words) | neighbours(words), set(swapped) | neighbours(swapped)))
     return out
 
 
 def fit(rows: list[tuple[str, int]]) -> dict[str, float]:
-    """Weights by term; the bias is under the empty string."""
+    """Weights by feature; the bias is under the empty string."""
     labels = np.array([y for _, y in rows], dtype=float)
     if not len(rows) or labels.min() == labels.max():
         return {"": -1.0986122886681098}
     places: dict[str, int] = {}
-    docs, sentences = [], []
+    docs = []
     for text, _ in rows:
-        found = terms(text)
-        docs.append(np.array(sorted(places.setdefault(w, len(places)) for w in sorted(found)), dtype=np.int64))
-        mentions = (terms(line) & GROUP.keys() for line in text.split("\n")) if found & GROUP.keys() else ()
-        sentences.append(next((m for m in mentions if m), set()))
+        docs.append(np.array(sorted(places.setdefault(w, len(places)) for w in sorted(features(text))), dtype=np.int64))
     names = chosen_terms(docs, list(places), labels)
     at = {w: i for i, w in enumerate(names)}
-    pairs = counterfactual_pairs(sentences, np.random.default_rng(7))
+    pairs = counterfactual_pairs([text for text, _ in rows], np.random.default_rng(7))
     column = np.full(len(places), -1)
     for w, i in places.items():
         column[i] = at.get(w, -1)
@@ -115,21 +142,26 @@ def fit(rows: list[tuple[str, int]]) -> dict[str, float]:
     row, col = row[col >= 0], col[col >= 0]
 
     def matrix(sets: list[set[str]]) -> tuple[np.ndarray, np.ndarray]:
-        cells = [(i, at[w]) for i, words in enumerate(sets) for w in sorted(words)]
+        cells = [(i, at[w]) for i, words in enumerate(sets) for w in sorted(words) if w in at]
         return np.array([r for r, _ in cells], dtype=np.int64), np.array([c for _, c in cells], dtype=np.int64)
 
-    plus, minus = matrix([a - b for a, b in pairs]), matrix([b - a for a, b in pairs])
+    def score(z: np.ndarray) -> np.ndarray:
+        return 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+
+    sides = [matrix([p[k] for p in pairs]) for k in (0, 1)]
     w, bias = np.zeros(len(names)), float(np.log(labels.mean() / (1 - labels.mean())))
     weight = np.where(labels == 1, 0.5 / labels.mean(), 0.5 / (1 - labels.mean())) / len(labels)
     m, v, mb, vb = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0
     for step in range(1, STEPS + 1):  # Adam, all rows in each step
-        z = np.bincount(row, w[col], len(docs)) + bias
-        g = (1 / (1 + np.exp(-z)) - labels) * weight
+        g = (score(np.bincount(row, w[col], len(docs)) + bias) - labels) * weight
         gw = np.bincount(col, g[row], len(names)) + RIDGE / len(labels) * w * 0.5
-        change = np.bincount(plus[0], w[plus[1]], len(pairs)) - np.bincount(minus[0], w[minus[1]], len(pairs))
-        gc = COUNTERFACTUAL * change / len(pairs)
-        gw += np.bincount(plus[1], gc[plus[0]], len(names)) - np.bincount(minus[1], gc[minus[0]], len(names))
         gb = g.sum()
+        p, q = (score(np.bincount(r, w[c], len(pairs)) + bias) for r, c in sides)
+        change = COUNTERFACTUAL * 2 * (p - q) / max(1, len(pairs))
+        for (r, c), s, sign in ((sides[0], p, 1), (sides[1], q, -1)):
+            gs = sign * change * s * (1 - s)
+            gw += np.bincount(c, gs[r], len(names))
+            gb += gs.sum()
         m, v = 0.9 * m + 0.1 * gw, 0.99 * v + 0.01 * gw**2
         mb, vb = 0.9 * mb + 0.1 * gb, 0.99 * vb + 0.01 * gb**2
         rate = 0.1 / (1 + 3 * step / STEPS)
@@ -164,13 +196,15 @@ def scored(docs: DataFrame, weights: dict[str, float], name: str = "score") -> D
                     term = kept.get(word)
                     if term is None:
                         term = word.strip(EDGE)
-                        term = term if term in known else ""
+                        term = term if term in known or term in GROUP else ""
                         if len(kept) >= 200_000:
                             kept.clear()
                         kept[word] = term
                     if term:
                         found.add(term)
-                z.append(bias + sum(known[t] for t in sorted(found)))
+                if not found.isdisjoint(GROUP):
+                    found |= {f for f in neighbours(ordered_terms(x.as_py())) if f in known}
+                z.append(bias + sum(known.get(t, 0.0) for t in sorted(found)))
             p = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
