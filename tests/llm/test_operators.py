@@ -369,7 +369,9 @@ def test_simhash(spark, texts):
     assert all(got[i].component_id == least[root[f]] for i, f in signed.items())
 
 
-def test_dedup_edges(docs, empty, clashing, spark):
+@pytest.mark.parametrize("rows", [simhash.BROADCAST_ROWS, 0])
+def test_dedup_edges(docs, empty, clashing, spark, monkeypatch, rows):
+    monkeypatch.setattr(simhash, "BROADCAST_ROWS", rows)
     kept = [r.doc_id for r in simhash.dedup(docs).collect()]
     assert kept.count(4) == 1 and None in kept and sum(i in (1, 2, 8) for i in kept) == 1
     assert simhash.dedup(clashing).columns == clashing.columns and simhash.dedup(empty).count() == 0

@@ -50,6 +50,8 @@ STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 BANDS, BAND = 25, 5
 #: Fingerprints whose keys one task makes.
 FPS_A_TASK = 100_000
+#: Keys of rows that go, 16 bytes each, that may be broadcast.
+BROADCAST_ROWS = 1_000_000
 #: Bytes of shingle sets that one task holds on disk.
 SET_BYTES = 1 << 25
 BLOCK = 1 << 15
@@ -232,7 +234,10 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def sketched(docs: DataFrame, shingle: int) -> DataFrame:
     """Columns of docs but text; node, a hash of the text's set of shingles; n, their number;
-    held, their hashes, sorted, 32 bits each; keys, one of each band of least hashes."""
+    held, their hashes, sorted, 32 bits each; keys, one of each band of least hashes.
+
+    A task gives held for the first of equal sets only, and null for its copies.
+    """
     at = docs.columns.index("text")
     keep, places = [c for c in docs.columns if c != "text"], [i for i, c in enumerate(docs.columns) if c != "text"]
 
@@ -241,6 +246,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
         rng = np.random.default_rng(SEED)
         flip, times = (rng.integers(0, 1 << 64, (BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1) for _ in range(2))
+        seen: set[int] = set()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch, rows = whole.slice(i, 256), []
@@ -251,7 +257,9 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
                         least = np.minimum(least, ((found[j : j + 1024] ^ flip) * times).min(axis=1))
                     keys = [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)]
                     held = np.unique(found.astype(np.uint32))
-                    rows.append((xxhash.xxh64_intdigest(found.tobytes(), SEED), len(held), held.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
+                    node = xxhash.xxh64_intdigest(found.tobytes(), SEED)
+                    rows.append((node, len(held), None if node in seen else held.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
+                    seen.add(node)
                 node, n, held, keys = zip(*rows, strict=True)
                 made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, type=pa.int64()), pa.array(held, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))]
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), *made], names=[*keep, "node", "n", "held", "keys"])
@@ -341,16 +349,21 @@ def alike(rows: DataFrame, similarity: float) -> DataFrame:
     # The sets of all that share a bucket, dealt once by node; the joins below find them in place.
     words = members.agg(F.sum("n")).first()[0] or 0
     parts = max(rows.sparkSession.sparkContext.defaultParallelism, words * 4 // BANDS // SET_BYTES)
-    sets = rows.select("node", "held").join(members.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
-    sets = held_on_disk(sets.repartition(parts, "node"))
+    sets = rows.where("held is not null").select("node", "held").repartition(parts, "node").dropDuplicates(["node"])
+    sets = held_on_disk(sets.join(members.select("node").distinct(), "node", "left_semi"))
     now = members.join(central, "node").select("key", "node", "n", (-F.col("near")).alias("rank"))
     hubs = now.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"))
     now = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
     links = checkpoint(similar(now.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), sets, similarity))
     found = checkpoint(components(links))
     now = members.join(found.toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("key")
-    pairs, rest = due_pairs(checkpoint(now.join(mixed, "key").select("node", "n", "root").distinct()), sets, similarity)
+    # Nodes that share a bucket with one of another component whose size allows a link.
+    step = F.floor(F.log(F.greatest("n", F.lit(1))) / -np.log(similarity)).cast("int")
+    now = now.withColumn("step", step)
+    others = now.groupBy("key", "step").agg(F.min("root").alias("low"), F.max("root").alias("high"))
+    seeks = now.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).join(others, ["key", "step"])
+    open_ = seeks.where((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))).select("node", "n", "root").distinct()
+    pairs, rest = due_pairs(checkpoint(open_), sets, similarity)
     more = checkpoint(similar(pairs.distinct(), sets, similarity))
     found = found if more.isEmpty() else checkpoint(components(links.union(more)))
     for df in (rest, sets, members):
@@ -363,14 +376,25 @@ def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STA
 
     Texts link if their sets of shingles have the Jaccard similarity or more: bands of least
     hashes find the candidates, and each is verified on the sets. Copies are one row before
-    any join on their set. The text is shuffled once, by (id, hash of text).
+    any join on their set. The keys (id, hash of text) of the rows that go are broadcast while
+    they are BROADCAST_ROWS at most, and texts stay where they are; beyond that the texts are
+    shuffled once, by key.
     """
     id_key, text_key = fresh(docs, "d_id", "d_text")
+    at = [id_key, text_key]
     marked = docs.withColumns({id_key: F.coalesce("doc_id", F.lit(-(1 << 63))), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
     rows = checkpoint(sketched(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle), wide=True)
     # Null ids stay only where a group has no others.
     least = rows.groupBy("node").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
     rooted = least.join(alike(rows, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
-    stays = rooted.groupBy("root").agg(F.min("s").alias("s"))
-    stays = stays.select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
-    return marked.join(stays, [id_key, text_key], "left_semi").dropDuplicates([id_key, text_key]).select(*docs.columns)
+    stays = rooted.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
+    found = rows.groupBy(F.col("id").alias(id_key), F.col("text_hash").alias(text_key)).agg(F.count(F.lit(1)).alias("c")).join(stays.withColumn("stays", F.lit(True)), at, "left")
+    # Rows that go, and those of which one of several equal ones stays.
+    changed = checkpoint(found.where("stays is null or c > 1").select(*at, F.col("stays").isNotNull().alias("stays")))
+    n, n_several = changed.agg(F.count(F.lit(1)), F.count_if("stays")).first()
+    if n > BROADCAST_ROWS:
+        return marked.join(stays, at, "left_semi").dropDuplicates(at).select(*docs.columns)
+    out = marked.join(F.broadcast(changed.select(*at)), at, "left_anti")
+    if n_several:
+        out = out.union(marked.join(F.broadcast(changed.where("stays").select(*at)), at, "left_semi").dropDuplicates(at))
+    return out.select(*docs.columns)
