@@ -50,7 +50,9 @@ STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
 BANDS, BAND = 25, 5
 #: Fingerprints whose keys one task makes.
 FPS_A_TASK = 100_000
-#: Keys of rows that go, 16 bytes each, that may be broadcast.
+#: Members of a bucket that meet pair by pair.
+SMALL = 16
+#: Keys of rows, 8 or 16 bytes each, that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of shingle sets that one task holds on disk.
 SET_BYTES = 1 << 25
@@ -232,12 +234,17 @@ def op8_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def sketched(docs: DataFrame, shingle: int) -> DataFrame:
-    """Columns of docs but text; node, a hash of the text's set of shingles; n, their number;
-    held, their hashes, sorted, 32 bits each; keys, one of each band of least hashes.
+def shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
+    """Hash of a text's set of shingles, and their hashes, sorted."""
+    import xxhash
 
-    A task gives held for the first of equal sets only, and null for its copies.
-    """
+    found = np.unique(np.frombuffer(b"".join(hashes(text, shingle)), dtype=np.uint64))
+    return xxhash.xxh64_intdigest(found.tobytes(), SEED), found
+
+
+def sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    """Columns of docs but text; node, a hash of the text's set of shingles; n, their number (as
+    32-bit hashes); keys, one of each band of least hashes."""
     at = docs.columns.index("text")
     keep, places = [c for c in docs.columns if c != "text"], [i for i, c in enumerate(docs.columns) if c != "text"]
 
@@ -246,26 +253,42 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
 
         rng = np.random.default_rng(SEED)
         flip, times = (rng.integers(0, 1 << 64, (BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1) for _ in range(2))
-        seen: set[int] = set()
         for whole in batches:
             for i in range(0, whole.num_rows, 256):
                 batch, rows = whole.slice(i, 256), []
                 for x in batch.column(at):
-                    found = np.unique(np.frombuffer(b"".join(hashes(x.as_py(), shingle)), dtype=np.uint64))
+                    node, found = shingle_set(x.as_py(), shingle)
                     least = np.full(BANDS * BAND, -1, dtype=np.int64).view(np.uint64)
                     for j in range(0, len(found), 1024):
                         least = np.minimum(least, ((found[j : j + 1024] ^ flip) * times).min(axis=1))
                     keys = [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)]
-                    held = np.unique(found.astype(np.uint32))
-                    node = xxhash.xxh64_intdigest(found.tobytes(), SEED)
-                    rows.append((node, len(held), None if node in seen else held.tobytes(), np.array(keys, dtype=np.uint64).view(np.int64)))
-                    seen.add(node)
-                node, n, held, keys = zip(*rows, strict=True)
-                made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, type=pa.int64()), pa.array(held, type=pa.binary()), pa.array(keys, type=pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), *made], names=[*keep, "node", "n", "held", "keys"])
+                    rows.append((node, len(np.unique(found.astype(np.uint32))), np.array(keys, dtype=np.uint64).view(np.int64)))
+                node, n, keys = zip(*rows, strict=True)
+                made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), *made], names=[*keep, "node", "n", "keys"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, node long, n long, held binary, keys array<long>")
+    return docs.mapInArrow(run, f"{kinds}, node long, n long, keys array<long>")
+
+
+def set_rows(texts: DataFrame, shingle: int) -> DataFrame:
+    """node, and held, the 32-bit hashes of its shingles, sorted; of equal sets a task gives one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for whole in batches:
+            for i in range(0, whole.num_rows, 256):
+                rows = []
+                for x in whole.slice(i, 256).column(0):
+                    node, found = shingle_set(x.as_py(), shingle)
+                    if node not in seen:
+                        seen.add(node)
+                        rows.append((node, np.unique(found.astype(np.uint32)).tobytes()))
+                if rows:
+                    node, held = zip(*rows, strict=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(held, type=pa.binary())], names=["node", "held"])
+
+    return texts.select("text").mapInArrow(run, "node long, held binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -331,40 +354,43 @@ def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> tuple[Dat
     return pairs, held
 
 
-def alike(rows: DataFrame, similarity: float) -> DataFrame:
-    """(node, root) of the components of nodes (of sketched rows), for those with a link.
+def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
+    """(node, root) of the components of nodes (node, n, keys, text_hash), for those with a link.
 
-    In a bucket all are compared to its hub, the member that shares its buckets with the most
+    texts: text and text_hash of the documents, from which the sets of those nodes are made
+    that share a bucket. In a bucket all are compared to its hub, the member that shares its buckets with the most
     others (the middle of a family of near copies). Of the buckets that then hold more than
-    one component, the pairs that could still be links are compared one by one. Hubs come
-    from sums that are made before the shuffle and are joined back, so that a hot bucket
-    can be split.
+    one component, the members of small ones meet pair by pair, of larger ones those pairs
+    that could still be links. Hubs come from sums that are made before the shuffle and are
+    joined back, so that a hot bucket can be split.
     """
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    nodes = rows.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
     members = held_on_disk(members.join(shared, "key").select("key", "node", "n", "size"))
-    central = members.groupBy("node").agg(F.sum("size").alias("near"))
-    # The sets of all that share a bucket, dealt once by node; the joins below find them in place.
-    words = members.agg(F.sum("n")).first()[0] or 0
-    parts = max(rows.sparkSession.sparkContext.defaultParallelism, words * 4 // BANDS // SET_BYTES)
-    sets = rows.where("held is not null").select("node", "held").repartition(parts, "node").dropDuplicates(["node"])
-    sets = held_on_disk(sets.join(members.select("node").distinct(), "node", "left_semi"))
-    now = members.join(central, "node").select("key", "node", "n", (-F.col("near")).alias("rank"))
+    central = members.groupBy("node").agg(F.sum("size").alias("near"), F.first("n").alias("n"))
+    n_sets, n_words = central.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    asked = nodes.join(central.select("node"), "node", "left_semi").select("node", "text_hash")
+    if n_sets <= BROADCAST_ROWS:
+        texts = texts.join(F.broadcast(asked.select("text_hash").distinct()), "text_hash", "left_semi")
+    # Dealt once by node; the joins below find them in place.
+    parts = max(nodes.sparkSession.sparkContext.defaultParallelism, n_words * 4 // SET_BYTES)
+    sets = set_rows(texts, shingle).repartition(parts, "node").dropDuplicates(["node"])
+    sets = held_on_disk(sets.join(asked.select("node"), "node", "left_semi"))
+    now = members.join(central.select("node", (-F.col("near")).alias("rank")), "node")
     hubs = now.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"))
     now = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
     links = checkpoint(similar(now.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), sets, similarity))
     found = checkpoint(components(links))
     now = members.join(found.toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
-    # Nodes that share a bucket with one of another component whose size allows a link.
-    step = F.floor(F.log(F.greatest("n", F.lit(1))) / -np.log(similarity)).cast("int")
-    now = now.withColumn("step", step)
-    others = now.groupBy("key", "step").agg(F.min("root").alias("low"), F.max("root").alias("high"))
-    seeks = now.withColumn("step", F.explode(F.array(F.col("step") - 1, F.col("step"), F.col("step") + 1))).join(others, ["key", "step"])
-    open_ = seeks.where((F.col("low") != F.col("root")) | (F.col("high") != F.col("root"))).select("node", "n", "root").distinct()
-    pairs, rest = due_pairs(checkpoint(open_), sets, similarity)
-    more = checkpoint(similar(pairs.distinct(), sets, similarity))
+    mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
+    now = held_on_disk(now.join(mixed, "key"))
+    small = now.where(F.col("size") <= SMALL).select("key", "node", "n", "root")
+    a, b = small.toDF("key", "u", "n1", "ru"), small.toDF("key", "v", "n2", "rv")
+    few = a.join(b, "key").where((F.col("ru") < F.col("rv")) & fits(F.col("n1"), F.col("n2"))).select("u", "v")
+    pairs, rest = due_pairs(checkpoint(now.where(F.col("size") > SMALL).select("node", "n", "root").distinct()), sets, similarity)
+    more = checkpoint(similar(few.union(pairs).distinct(), sets, similarity))
+    now.unpersist()
     found = found if more.isEmpty() else checkpoint(components(links.union(more)))
     for df in (rest, sets, members):
         df.unpersist()
@@ -383,12 +409,14 @@ def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STA
     id_key, text_key = fresh(docs, "d_id", "d_text")
     at = [id_key, text_key]
     marked = docs.withColumns({id_key: F.coalesce("doc_id", F.lit(-(1 << 63))), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
-    rows = checkpoint(sketched(marked.select(F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"), "text"), shingle), wide=True)
+    own = (F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"))
+    nodes = sketched(marked.select(*own, "text"), shingle).groupBy("node")
     # Null ids stay only where a group has no others.
-    least = rows.groupBy("node").agg(F.min(F.struct("lost", "id", "text_hash")).alias("s"))
-    rooted = least.join(alike(rows, similarity), "node", "left").withColumn("root", F.coalesce("root", "node"))
+    nodes = checkpoint(nodes.agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("lost", "id", "text_hash")).alias("s")), wide=True)
+    found = alike(nodes.select("node", "n", "keys", F.col("s.text_hash").alias("text_hash")), marked.select(own[2], "text"), shingle, similarity)
+    rooted = nodes.select("node", "s").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = rooted.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
-    found = rows.groupBy(F.col("id").alias(id_key), F.col("text_hash").alias(text_key)).agg(F.count(F.lit(1)).alias("c")).join(stays.withColumn("stays", F.lit(True)), at, "left")
+    found = marked.groupBy(*at).agg(F.count(F.lit(1)).alias("c")).join(stays.withColumn("stays", F.lit(True)), at, "left")
     # Rows that go, and those of which one of several equal ones stays.
     changed = checkpoint(found.where("stays is null or c > 1").select(*at, F.col("stays").isNotNull().alias("stays")))
     n, n_several = changed.agg(F.count(F.lit(1)), F.count_if("stays")).first()
