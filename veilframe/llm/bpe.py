@@ -34,8 +34,8 @@ from pyspark.sql.types import StructType
 
 from .common import fresh, table
 
-CACHE = 200_000
-MATCHES = 400_000
+CACHE = 120_000
+MATCHES = 250_000
 #: A longer match is encoded anew each time, so the cache's memory is bounded.
 CACHED_BYTES = 64
 LEAF = 2

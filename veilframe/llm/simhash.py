@@ -319,9 +319,8 @@ def shingles(sets: DataFrame) -> DataFrame:
     return sets.select("node", "held").mapInArrow(run, "node long, h int")
 
 
-def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> tuple[DataFrame, DataFrame]:
-    """Pairs (u, v) of nodes (node, n, root) with different roots that can still be a link;
-    and what they are made of, held on disk until unpersist().
+def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs (u, v) of nodes (node, n, root) with different roots that can still be a link.
 
     Each node's shingles are put in one order for all, the rarest first. Two sets of sizes
     n1 >= n2 need an overlap of s / (1 + s) (n1 + n2), so they share a shingle before so many
@@ -338,7 +337,7 @@ def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> tuple[Dat
     rows = rows.join(nodes, "node").withColumn("left", F.col("n") - F.col("at"))
     most = F.col("left") * ((1 + s) / s) - F.col("n") + 1e-6  # the size of a partner
     rows = rows.withColumn("most", F.least(F.col("n").cast("double"), most)).where(F.col("most") >= F.col("n") * s)
-    rows = held = held_on_disk(rows)
+    rows = checkpoint(rows.select("node", "h", "n", "root", "weight", "left", "most"))
     names = ["node", "n", "root", "left", "weight", "h", "level"]
     seeks = rows.withColumn("level", F.explode(F.sequence(level(F.col("n") * s - 1e-6), level(F.col("most"))))).select(*names)
     stays = rows.where(F.col("left") * (1 + s) >= F.col("n") * (2 * s) - 1e-6).withColumn("level", level(F.col("n"))).select(*names)
@@ -350,8 +349,7 @@ def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> tuple[Dat
     smaller = (F.col("n2") < F.col("n1")) | ((F.col("n2") == F.col("n1")) & (F.col("v") < F.col("u")))
     fits = (F.col("ru") != F.col("rv")) & smaller & (F.least("left1", "left2") * (1 + s) >= (F.col("n1") + F.col("n2")) * s - 1e-6)
     at = ["h", "level"]
-    pairs = a.where("not own1").join(b, at).where(fits).select("u", "v").union(a.where("own1").join(b.where("not own2"), at).where(fits).select("u", "v"))
-    return pairs, held
+    return a.where("not own1").join(b, at).where(fits).select("u", "v").union(a.where("own1").join(b.where("not own2"), at).where(fits).select("u", "v"))
 
 
 def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
@@ -367,33 +365,32 @@ def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     members = nodes.select("node", "n", F.explode("keys").alias("key"))
     shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
-    members = held_on_disk(members.join(shared, "key").select("key", "node", "n", "size"))
+    # Checkpoints, not caches: what follows starts from short plans, which the driver has to hold.
+    members = checkpoint(members.join(shared, "key").select("key", "node", "n", "size"))
     central = members.groupBy("node").agg(F.sum("size").alias("near"), F.first("n").alias("n"))
-    n_sets, n_words = central.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    asked = nodes.join(central.select("node"), "node", "left_semi").select("node", "text_hash")
+    asked = checkpoint(nodes.select("node", "text_hash").join(central, "node"))
+    n_sets, n_words = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_sets <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(asked.select("text_hash").distinct()), "text_hash", "left_semi")
     # Dealt once by node; the joins below find them in place.
     parts = max(nodes.sparkSession.sparkContext.defaultParallelism, n_words * 4 // SET_BYTES)
     sets = set_rows(texts, shingle).repartition(parts, "node").dropDuplicates(["node"])
     sets = held_on_disk(sets.join(asked.select("node"), "node", "left_semi"))
-    now = members.join(central.select("node", (-F.col("near")).alias("rank")), "node")
+    now = members.join(asked.select("node", (-F.col("near")).alias("rank")), "node")
     hubs = now.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"))
     now = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
     links = checkpoint(similar(now.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), sets, similarity))
     found = checkpoint(components(links))
     now = members.join(found.toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
     mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
-    now = held_on_disk(now.join(mixed, "key"))
+    now = checkpoint(now.join(mixed, "key"))
     small = now.where(F.col("size") <= SMALL).select("key", "node", "n", "root")
     a, b = small.toDF("key", "u", "n1", "ru"), small.toDF("key", "v", "n2", "rv")
     few = a.join(b, "key").where((F.col("ru") < F.col("rv")) & fits(F.col("n1"), F.col("n2"))).select("u", "v")
-    pairs, rest = due_pairs(checkpoint(now.where(F.col("size") > SMALL).select("node", "n", "root").distinct()), sets, similarity)
+    pairs = due_pairs(checkpoint(now.where(F.col("size") > SMALL).select("node", "n", "root").distinct()), sets, similarity)
     more = checkpoint(similar(few.union(pairs).distinct(), sets, similarity))
-    now.unpersist()
     found = found if more.isEmpty() else checkpoint(components(links.union(more)))
-    for df in (rest, sets, members):
-        df.unpersist()
+    sets.unpersist()
     return found
 
 
