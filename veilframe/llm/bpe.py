@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import fresh, table
+from .common import fresh, in_arrow, table
 
 CACHE = 120_000
 MATCHES = 250_000
@@ -174,7 +174,7 @@ def _batched(docs: DataFrame, ranks: dict[bytes, int], pattern: str, schema: str
 
     extra = StructType.fromDDL(schema)
     kinds, names = [f.type for f in to_arrow_schema(extra)], extra.names
-    return docs.mapInArrow(run, StructType([*docs.schema.fields, *extra.fields]))
+    return in_arrow(docs, run, StructType([*docs.schema.fields, *extra.fields]))
 
 
 def _digest(encoder: TreeEncoder, text: str) -> tuple:

@@ -11,6 +11,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+BATCH = 500
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     # Python workers import this package from where the driver did; on a cluster without
     # that folder the package comes with --py-files.
@@ -47,6 +50,13 @@ def forget(df: DataFrame) -> None:
         folder.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+def in_arrow(df: DataFrame, run, schema) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of BATCH rows, so that the memory of both sides
+    follows a few hundred texts. The setting is the session's."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH))
+    return df.mapInArrow(run, schema)
+
+
 def held(df: DataFrame) -> DataFrame:
     """df kept on the executors' disks until unpersist(); a lost part is computed again."""
     return df.persist(StorageLevel.DISK_ONLY)

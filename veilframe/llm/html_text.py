@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import fresh, table
+from .common import fresh, in_arrow, table
 
 # The elements of HTML by their part in parsing and layout.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -442,7 +442,7 @@ def extracted(pages: DataFrame, html: str = "html", name: str = "text") -> DataF
             out = pa.array([extract(x.as_py()) for x in batch.column(at)], type=kind)
             yield pa.RecordBatch.from_arrays([*batch.columns, out], names=[*batch.schema.names, name])
 
-    return pages.mapInArrow(run, schema)
+    return in_arrow(pages, run, schema)
 
 
 def op4_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:

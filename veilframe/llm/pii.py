@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import fresh, table
+from .common import fresh, in_arrow, table
 
 KEY_SETTING = "spark.veilframe.pii.key"
 ROUNDS = 6
@@ -336,7 +336,7 @@ def pseudonymised(docs: DataFrame, key: bytes, text: str = "text", entities: str
             columns += [pa.array(spans, type=kinds[-2]), pa.array(counts, type=kinds[-1])]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def clean(docs: DataFrame, key: bytes) -> DataFrame:

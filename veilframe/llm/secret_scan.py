@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from .common import fresh, table
+from .common import fresh, in_arrow, table
 
 KINDS = ("assign", "access", "hex", "learned")
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.A | re.I)
@@ -291,7 +291,7 @@ def scanned(docs: DataFrame, net: Network | None = None, name: str = "findings")
             columns = [pa.array(rows, type=kind), pa.array([n for _, n, _ in made], type=pa.int64()), pa.array([p for _, _, p in made], type=pa.float64())]
             yield pa.RecordBatch.from_arrays([*batch.columns, *columns], names=names)
 
-    return docs.mapInArrow(run, schema)
+    return in_arrow(docs, run, schema)
 
 
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import checkpoint, fresh, table
+from .common import checkpoint, fresh, in_arrow, table
 from .common import held as held_on_disk
 from .components import components, starred
 
@@ -99,7 +99,7 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in places), pa.array(made)], names=[*keep, "fp"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(run, ", ".join([kinds, "fp long"]))
+    return in_arrow(docs, run, ", ".join([kinds, "fp long"]))
 
 
 class Golay:
@@ -183,7 +183,7 @@ def keyed(nodes: DataFrame) -> DataFrame:
                 k, r = keys(fps, code)
                 yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(fps[r])], names=["key", "fp"])
 
-    return nodes.mapInArrow(run, "key long, fp long")
+    return in_arrow(nodes, run, "key long, fp long")
 
 
 def linked(nodes: DataFrame, limit: int = MAX_BITS) -> DataFrame:
@@ -268,7 +268,7 @@ def sketched(docs: DataFrame, shingle: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), *made], names=[*keep, "node", "n", "keys"])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return docs.mapInArrow(run, f"{kinds}, node long, n long, keys array<long>")
+    return in_arrow(docs, run, f"{kinds}, node long, n long, keys array<long>")
 
 
 def set_rows(texts: DataFrame, shingle: int) -> DataFrame:
@@ -288,7 +288,7 @@ def set_rows(texts: DataFrame, shingle: int) -> DataFrame:
                     node, held = zip(*rows, strict=True)
                     yield pa.RecordBatch.from_arrays([pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(held, type=pa.binary())], names=["node", "held"])
 
-    return texts.select("text").mapInArrow(run, "node long, held binary")
+    return in_arrow(texts.select("text"), run, "node long, held binary")
 
 
 def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
@@ -304,7 +304,7 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["u", "v"]).filter(pa.array(take, type=pa.bool_()))
 
     both = pairs.join(sets.toDF("u", "x"), "u").join(sets.toDF("v", "y"), "v").select("u", "v", "x", "y")
-    return both.mapInArrow(run, "u long, v long")
+    return in_arrow(both, run, "u long, v long")
 
 
 def shingles(sets: DataFrame) -> DataFrame:
@@ -316,7 +316,7 @@ def shingles(sets: DataFrame) -> DataFrame:
                 found = np.frombuffer(held.as_py(), dtype=np.int32)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node.as_py(), dtype=np.int64)), pa.array(found)], names=["node", "h"])
 
-    return sets.select("node", "held").mapInArrow(run, "node long, h int")
+    return in_arrow(sets.select("node", "held"), run, "node long, h int")
 
 
 def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fresh, split_words, table
+from .common import fresh, in_arrow, split_words, table
 
 #: Labelled rows that the fit may use at most; all of them if there are fewer.
 SAMPLE = 6_000
@@ -208,7 +208,7 @@ def scored(docs: DataFrame, weights: dict[str, float], name: str = "score") -> D
             p = 1 / (1 + np.exp(-np.clip(np.array(z, dtype=float), -50, 50)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, name])
 
-    return docs.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{name} double"]))
+    return in_arrow(docs, run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields), f"{name} double"]))
 
 
 def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
