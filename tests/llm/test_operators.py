@@ -427,6 +427,37 @@ def test_dedup_of_repeated_passages(spark):
     assert sorted(r.doc_id for r in simhash.dedup(df).collect()) == [1, 3]
 
 
+def test_soft_golay_keys():
+    """Codewords with the least margins turned, by brute force; sets at the limit share keys, others none."""
+    rng, soft = np.random.default_rng(2), simhash.Soft()
+    data = np.arange(4096) << 11
+    code = data ^ soft.code.low[data & 4095] ^ soft.code.high[data >> 12]
+    bits = code[:, None] >> np.arange(23) & 1
+    margins = rng.integers(-40, 41, (50, 23))
+    words, cost = soft.near(margins)
+    for m, w, c in zip(margins, words, cost, strict=True):
+        want = (np.abs(m) * (bits != (m > 0))).sum(axis=1)
+        assert len(set(w)) == len(w) and (c == want[w]).all() and (np.diff(c) >= 0).all()
+        assert c[0] <= np.sort(want)[1]  # the nearest, or at worst the next
+    sets = [rng.integers(0, 1 << 64, 275, dtype=np.uint64) for _ in range(64)]
+    (a, i), (b, j) = soft.keys([x[:247] for x in sets]), soft.keys([x[28:] for x in sets])  # 219 of 275 in both
+    assert len(a) == len(set(zip(a.tolist(), i.tolist()))) == 64 * simhash.FINGERPRINTS * simhash.LIST
+    own, met = defaultdict(set), set()
+    for k, n in zip(a.tolist(), i.tolist()):
+        own[k].add(n)
+    for k, n in zip(b.tolist(), j.tolist()):
+        met |= {(n, x) for x in own[k]}
+    assert {(n, n) for n in range(64)} <= met and len(met) <= 66
+
+
+def test_dedup_candidates_are_golay_keys(spark, monkeypatch):
+    base = [f"w{i}" for i in range(200)]
+    df = spark.createDataFrame([(1, " ".join(base)), (2, " ".join([*base[:100], "x", *base[101:]])), (3, " ".join(base))], "doc_id long, text string")
+    assert [r.doc_id for r in simhash.dedup(df).collect()] == [1]
+    monkeypatch.setattr(simhash, "soft_keyed", lambda texts, shingle: spark.createDataFrame([], "key long, node long"))
+    assert sorted(r.doc_id for r in simhash.dedup(df).collect()) == [1, 2]  # without keys only equal sets are one
+
+
 def imatch_brute(texts):
     """Subset hashes of each text and, by likeness, of two such lists; texts: all of the corpus."""
     import xxhash

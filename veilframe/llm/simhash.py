@@ -16,6 +16,10 @@ So no link is missed, and every candidate is verified on the fingerprints. A fin
 has some 185 keys; keys are wide enough that chance meetings stay few: at 10^10
 fingerprints about one other in a bucket.
 
+The pipeline's near-duplicates are sets of shingles with a similarity of 0.8, at which 64 bits
+differ in ten on average. There fingerprints are longer, and the neighbours of a segment are
+chosen by the margins of its bits (``Soft``); candidates are verified on the sets.
+
 Equal fingerprints are one row before keys are made, so copies never meet each other. In
 a bucket all are compared to the least fingerprint, then to the least of those not linked
 to it, and then every two that are still in different components to each other; a bucket
@@ -45,11 +49,15 @@ from .components import components, starred
 SHINGLE, SEED, MAX_BITS = 4, 42, 4
 #: Near-duplicates elsewhere: five words, a similarity of 0.8 or more.
 STAGE_SHINGLE, STAGE_SIMILARITY = 5, 0.8
-#: Of the least hashes of a set of shingles, one band in BANDS of BAND hashes must agree:
-#: at a similarity of 0.8 it does for all but 1 in 20,000 pairs, (1 - 0.8 ** 5) ** 25.
-BANDS, BAND = 25, 5
+#: Of the long fingerprints of a set: words, keys a word and bits tried a segment. At a similarity
+#: of 0.8 two sets of 50 shingles or more share no key in 1 of 20,000 pairs (see the README).
+FINGERPRINTS, LIST, PROBES = 20, 16, 6
+#: More than any sum of margins.
+FAR = 1 << 40
 #: Fingerprints whose keys one task makes.
 FPS_A_TASK = 100_000
+#: Of so many buckets one is used to find hubs.
+HUB_BUCKETS = 16
 #: Members of a bucket that meet pair by pair.
 SMALL = 16
 #: Keys of rows, 8 or 16 bytes each, that may be broadcast.
@@ -242,33 +250,108 @@ def shingle_set(text: str | None, shingle: int) -> tuple[int, np.ndarray]:
     return xxhash.xxh64_intdigest(found.tobytes(), SEED), found
 
 
-def sketched(docs: DataFrame, shingle: int) -> DataFrame:
+def sized(docs: DataFrame, shingle: int) -> DataFrame:
     """Columns of docs but text; node, a hash of the text's set of shingles; n, their number (as
-    32-bit hashes); keys, one of each band of least hashes."""
+    32-bit hashes)."""
     at = docs.columns.index("text")
     keep, places = [c for c in docs.columns if c != "text"], [i for i, c in enumerate(docs.columns) if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import xxhash
+        for batch in batches:
+            found = (shingle_set(x.as_py(), shingle) for x in batch.column(at))
+            node, n = zip(*((node, len(np.unique(h.astype(np.uint32)))) for node, h in found), strict=True) if batch.num_rows else ((), ())
+            made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, type=pa.int64())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), *made], names=[*keep, "node", "n"])
+
+    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
+    return in_arrow(docs, run, f"{kinds}, node long, n long")
+
+
+class Soft:
+    """Bucket keys of sets by Golay codewords near their long SimHash fingerprints.
+
+    A fingerprint has FINGERPRINTS words of three segments of 23 bits. A bit's margin is how many
+    shingles' hashes set it, less those that don't; its sign is the bit, and bits of small
+    margins are those in which similar sets differ. So the neighbours of a segment are those
+    with its PROBES least margins turned in all ways (Chase's rule) rather than each single
+    bit; they decode to codewords, and a word's keys are the LIST triples of codewords whose
+    bits turn the least margins in sum.
+    """
 
+    def __init__(self) -> None:
+        self.code = Golay()
         rng = np.random.default_rng(SEED)
-        flip, times = (rng.integers(0, 1 << 64, (BANDS * BAND, 1), dtype=np.uint64) | np.uint64(1) for _ in range(2))
+        self.words = -(-FINGERPRINTS * 69 // 64)
+        self.flip, self.times = (rng.integers(0, 1 << 64, self.words, dtype=np.uint64) | np.uint64(1) for _ in range(2))
+        bits = self.code.error[:, None] >> np.arange(23) & 1
+        self.places = np.sort(np.where(bits, np.arange(23), 23), axis=1)[:, :3]  # of an error's bits; 23 for none
+        self.pairs = np.array([(i, j) for i in range(LIST) for j in range(LIST) if (i + 1) * (j + 1) <= LIST]).T
+
+    def margins(self, found: np.ndarray) -> np.ndarray:
+        """A row of 23 for each segment."""
+        ones = np.zeros(self.words * 64, dtype=np.int64)
+        for i in range(0, len(found), 255):  # sums of bytes
+            h = (found[i : i + 255, None] ^ self.flip) * self.times
+            h = (h ^ h >> np.uint64(32)) * np.uint64(0x9FB21C651E98DF25)
+            h ^= h >> np.uint64(32)
+            ones += np.add.reduce(np.unpackbits(h.view(np.uint8), axis=1), axis=0, dtype=np.uint8)
+        return (2 * ones - len(found))[: FINGERPRINTS * 69].reshape(-1, 23)
+
+    def near(self, margins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """LIST codewords for each row of 23 margins, and the margins that they turn, least first."""
+        a = np.abs(margins)
+        x = (margins > 0) @ (1 << np.arange(23))
+        turned, cost = np.zeros((len(a), 1), dtype=np.int64), np.zeros((len(a), 1), dtype=np.int64)
+        for bit in np.argsort(a, axis=1, kind="stable")[:, :PROBES].T:
+            turned = np.concatenate([turned, turned | 1 << bit[:, None]], axis=1)
+            cost = np.concatenate([cost, cost + np.take_along_axis(a, bit[:, None], axis=1)], axis=1)
+        y = x[:, None] ^ turned
+        rest = self.code.low[y & 4095] ^ self.code.high[y >> 12]
+        a = np.concatenate([a, np.zeros((len(a), 1), dtype=np.int64)], axis=1)
+        for place in np.moveaxis(self.places[rest], 2, 0):
+            more = np.take_along_axis(a, place, axis=1)
+            cost += np.where(turned >> place & 1, -more, more)  # turned twice: as it was
+        both = np.sort(cost << 12 | (y ^ self.code.error[rest]) >> 11, axis=1)
+        both[:, 1:][both[:, 1:] == both[:, :-1]] = FAR << 12
+        both = np.sort(both, axis=1)[:, :LIST]
+        return both & 4095, both >> 12
+
+    def keys(self, sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Keys, and the number of the set that each is of; a set has no key twice."""
+        words, cost = self.near(np.concatenate([self.margins(x) for x in sets]))
+        words, cost = words.reshape(-1, 3, LIST), cost.reshape(-1, 3, LIST)
+        out, total, (i, j) = words[:, 0], cost[:, 0], self.pairs
+        for k in (1, 2):
+            out, total = out[:, i] << 12 | words[:, k][:, j], total[:, i] + cost[:, k][:, j]
+            first = np.argsort(total, axis=1, kind="stable")[:, :LIST]
+            out, total = np.take_along_axis(out, first, axis=1), np.take_along_axis(total, first, axis=1)
+        out |= (np.arange(len(out)) % FINGERPRINTS << 36)[:, None]
+        row, at = np.nonzero(total < FAR)
+        return out[row, at], row // FINGERPRINTS
+
+
+def soft_keyed(texts: DataFrame, shingle: int) -> DataFrame:
+    """(key, node) of each text's set of shingles; of equal sets a task gives one.
+
+    Sets of up to three shingles have none: no other set has a similarity of 0.8 to them.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        soft, seen = Soft(), set()
         for whole in batches:
-            for i in range(0, whole.num_rows, 256):
-                batch, rows = whole.slice(i, 256), []
-                for x in batch.column(at):
+            for i in range(0, whole.num_rows, 64):
+                new = {}
+                for x in whole.slice(i, 64).column(0):
                     node, found = shingle_set(x.as_py(), shingle)
-                    least = np.full(BANDS * BAND, -1, dtype=np.int64).view(np.uint64)
-                    for j in range(0, len(found), 1024):
-                        least = np.minimum(least, ((found[j : j + 1024] ^ flip) * times).min(axis=1))
-                    keys = [xxhash.xxh64_intdigest(least[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)]
-                    rows.append((node, len(np.unique(found.astype(np.uint32))), np.array(keys, dtype=np.uint64).view(np.int64)))
-                node, n, keys = zip(*rows, strict=True)
-                made = [pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(n, type=pa.int64()), pa.array(keys, type=pa.list_(pa.int64()))]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in places), *made], names=[*keep, "node", "n", "keys"])
+                    if node not in seen and len(found) > 3:
+                        new[node] = found
+                seen.update(new)
+                if new:
+                    k, row = soft.keys(list(new.values()))
+                    node = np.array(list(new), dtype=np.uint64).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(k), pa.array(node[row])], names=["key", "node"])
 
-    kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name != "text")
-    return in_arrow(docs, run, f"{kinds}, node long, n long, keys array<long>")
+    return in_arrow(texts.select("text"), run, "key long, node long")
 
 
 def set_rows(texts: DataFrame, shingle: int) -> DataFrame:
@@ -353,22 +436,22 @@ def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
 
 
 def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """(node, root) of the components of nodes (node, n, keys, text_hash), for those with a link.
-
-    texts: text and text_hash of the documents, from which the sets of those nodes are made
-    that share a bucket. In a bucket all are compared to its hub, the member that shares its buckets with the most
-    others (the middle of a family of near copies). Of the buckets that then hold more than
-    one component, the members of small ones meet pair by pair, of larger ones those pairs
-    that could still be links. Hubs come from sums that are made before the shuffle and are
-    joined back, so that a hot bucket can be split.
+    """(node, root) of the components of nodes (node, n, text_hash), for those with a link.
+
+    texts: text and text_hash of the documents, from which keys are made, and the sets of those
+    nodes that share a bucket. In one bucket of HUB_BUCKETS, all are compared to its hub, the
+    member that shares such buckets with the most others (the middle of a family of near
+    copies). Of all buckets that then hold more than one component, the members of small ones
+    meet pair by pair, of larger ones those pairs that could still be links. Hubs come from
+    sums that are made before the shuffle and are joined back, so that a hot bucket can be split.
     """
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
-    members = nodes.select("node", "n", F.explode("keys").alias("key"))
-    shared = members.groupBy("key").agg(F.count(F.lit(1)).alias("size")).where("size > 1")
+    bucket = Window.partitionBy("key")
+    # Most keys are of one node, and go where they were dealt to; tasks may give a node twice.
+    members = soft_keyed(texts, shingle).withColumns({"low": F.min("node").over(bucket), "high": F.max("node").over(bucket)})
     # Checkpoints, not caches: what follows starts from short plans, which the driver has to hold.
-    members = checkpoint(members.join(shared, "key").select("key", "node", "n", "size"))
-    central = members.groupBy("node").agg(F.sum("size").alias("near"), F.first("n").alias("n"))
-    asked = checkpoint(nodes.select("node", "text_hash").join(central, "node"))
+    members = checkpoint(members.where("low < high").select("key", "node").distinct())
+    asked = checkpoint(nodes.select("node", "n", "text_hash").join(members.select("node").distinct(), "node"))
     n_sets, n_words = asked.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
     if n_sets <= BROADCAST_ROWS:
         texts = texts.join(F.broadcast(asked.select("text_hash").distinct()), "text_hash", "left_semi")
@@ -376,12 +459,15 @@ def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     parts = max(nodes.sparkSession.sparkContext.defaultParallelism, n_words * 4 // SET_BYTES)
     sets = set_rows(texts, shingle).repartition(parts, "node").dropDuplicates(["node"])
     sets = held_on_disk(sets.join(asked.select("node"), "node", "left_semi"))
-    now = members.join(asked.select("node", (-F.col("near")).alias("rank")), "node")
-    hubs = now.groupBy("key").agg(F.min(F.struct("rank", "node", "n")).alias("hub"))
-    now = members.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
+    some = members.where(F.pmod(F.xxhash64("key"), F.lit(HUB_BUCKETS)) == 0)
+    central = some.join(some.groupBy("key").agg(F.count(F.lit(1)).alias("size")), "key").groupBy("node").agg(F.sum("size").alias("near"))
+    some = checkpoint(some.join(asked.select("node", "n").join(central, "node"), "node"))
+    hubs = some.groupBy("key").agg(F.min(F.struct((-F.col("near")).alias("rank"), "node", "n")).alias("hub"))
+    now = some.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
     links = checkpoint(similar(now.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), sets, similarity))
     found = checkpoint(components(links))
-    now = members.join(found.toDF("node", "root"), "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("root"))
+    rooted = asked.select("node", "n").join(found.toDF("node", "root"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
+    now = members.join(rooted, "node")
     mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
     now = checkpoint(now.join(mixed, "key"))
     small = now.where(F.col("size") <= SMALL).select("key", "node", "n", "root")
@@ -397,9 +483,9 @@ def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
 def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STAGE_SIMILARITY) -> DataFrame:
     """One row of docs for each group of near-duplicates: that with the least doc_id.
 
-    Texts link if their sets of shingles have the Jaccard similarity or more: bands of least
-    hashes find the candidates, and each is verified on the sets. Copies are one row before
-    any join on their set. The keys (id, hash of text) of the rows that go are broadcast while
+    Texts link if their sets of shingles have the Jaccard similarity or more: Golay keys of long
+    SimHash fingerprints (Soft) find the candidates, and each is verified on the sets. Copies
+    are one row before any join on their set. The keys (id, hash of text) of the rows that go are broadcast while
     they are BROADCAST_ROWS at most, and texts stay where they are; beyond that the texts are
     shuffled once, by key.
     """
@@ -407,10 +493,10 @@ def dedup(docs: DataFrame, shingle: int = STAGE_SHINGLE, similarity: float = STA
     at = [id_key, text_key]
     marked = docs.withColumns({id_key: F.coalesce("doc_id", F.lit(-(1 << 63))), text_key: F.xxhash64(F.coalesce("text", F.lit("")))})
     own = (F.col("doc_id").isNull().alias("lost"), F.col(id_key).alias("id"), F.col(text_key).alias("text_hash"))
-    nodes = sketched(marked.select(*own, "text"), shingle).groupBy("node")
+    nodes = sized(marked.select(*own, "text"), shingle).groupBy("node")
     # Null ids stay only where a group has no others.
-    nodes = checkpoint(nodes.agg(F.first("n").alias("n"), F.first("keys").alias("keys"), F.min(F.struct("lost", "id", "text_hash")).alias("s")), wide=True)
-    found = alike(nodes.select("node", "n", "keys", F.col("s.text_hash").alias("text_hash")), marked.select(own[2], "text"), shingle, similarity)
+    nodes = checkpoint(nodes.agg(F.first("n").alias("n"), F.min(F.struct("lost", "id", "text_hash")).alias("s")))
+    found = alike(nodes.select("node", "n", F.col("s.text_hash").alias("text_hash")), marked.select(own[2], "text"), shingle, similarity)
     rooted = nodes.select("node", "s").join(found, "node", "left").withColumn("root", F.coalesce("root", "node"))
     stays = rooted.groupBy("root").agg(F.min("s").alias("s")).select(F.col("s.id").alias(id_key), F.col("s.text_hash").alias(text_key)).distinct()
     found = marked.groupBy(*at).agg(F.count(F.lit(1)).alias("c")).join(stays.withColumn("stays", F.lit(True)), at, "left")
