@@ -467,12 +467,13 @@ def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     links = checkpoint(similar(now.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), sets, similarity))
     found = checkpoint(components(links))
     rooted = asked.select("node", "n").join(found.toDF("node", "root"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    now = members.join(rooted, "node")
-    mixed = now.groupBy("key").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("size")).where("low < high").select("key", "size")
-    now = checkpoint(now.join(mixed, "key"))
-    small = now.where(F.col("size") <= SMALL).select("key", "node", "n", "root")
-    a, b = small.toDF("key", "u", "n1", "ru"), small.toDF("key", "v", "n2", "rv")
-    few = a.join(b, "key").where((F.col("ru") < F.col("rv")) & fits(F.col("n1"), F.col("n2"))).select("u", "v")
+    mixed = members.join(rooted, "node").withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "size": F.count(F.lit(1)).over(bucket)})
+    now = checkpoint(mixed.where("low < high").select("key", "node", "n", "root", "size"))
+    # Near copies share many buckets; those with the same members are one.
+    small = now.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n", "root"))).alias("m")).select("m").distinct()
+    small = small.select("m", F.explode("m").alias("a"))
+    others = F.filter("m", lambda b: (F.col("a.root") < b["root"]) & fits(F.col("a.n"), b["n"]))
+    few = small.select(F.col("a.node").alias("u"), F.explode(others).alias("b")).select("u", F.col("b.node").alias("v"))
     pairs = due_pairs(checkpoint(now.where(F.col("size") > SMALL).select("node", "n", "root").distinct()), sets, similarity)
     more = checkpoint(similar(few.union(pairs).distinct(), sets, similarity))
     found = found if more.isEmpty() else checkpoint(components(links.union(more)))
