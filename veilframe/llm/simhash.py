@@ -443,7 +443,8 @@ def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     member that shares such buckets with the most others (the middle of a family of near
     copies). Of all buckets that then hold more than one component, the members of small ones
     meet pair by pair, of larger ones those pairs that could still be links. Hubs come from
-    sums that are made before the shuffle and are joined back, so that a hot bucket can be split.
+    sums that are made before the shuffle and are joined back. Whether a bucket has several
+    members or components is found by windows, so one bucket is one task.
     """
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     bucket = Window.partitionBy("key")
