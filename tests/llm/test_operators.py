@@ -420,6 +420,24 @@ def test_dedup_of_a_family(spark):
     assert got == want and 60 < len(got) < 240
 
 
+def test_dedup_pairs_follow_the_members(spark, monkeypatch):
+    """A family around the limit: pairs compared are a few a member, not their square."""
+    rng, rows, met, similar = np.random.default_rng(7), {}, [], simhash.similar
+
+    def counted(pairs, sets, similarity):
+        met.append(pairs.count())
+        return similar(pairs, sets, similarity)
+
+    monkeypatch.setattr(simhash, "similar", counted)
+    base = [f"b{i}" for i in range(150)]
+    for k in range(300):
+        at = set(rng.choice(150, int(rng.integers(0, 13)), replace=False))
+        rows[k] = " ".join(f"x{rng.integers(0, 1 << 30)}" if i in at else w for i, w in enumerate(base))
+    got = {r.doc_id for r in simhash.dedup(spark.createDataFrame(list(rows.items()), "doc_id long, text string")).collect()}
+    assert got == kept_by_sets(rows) and 60 < len(got) < 240
+    assert sum(met) < 8 * len(rows)
+
+
 def test_dedup_of_repeated_passages(spark):
     """Sizes are of distinct shingles: a text, and one with it three times over."""
     base = " ".join(f"w{i}" for i in range(300))

@@ -58,8 +58,6 @@ FAR = 1 << 40
 FPS_A_TASK = 100_000
 #: Of so many buckets one is used to find hubs.
 HUB_BUCKETS = 16
-#: Members of a bucket that meet pair by pair.
-SMALL = 16
 #: Keys of rows, 8 or 16 bytes each, that may be broadcast.
 BROADCAST_ROWS = 1_000_000
 #: Bytes of shingle sets that one task holds on disk.
@@ -391,19 +389,20 @@ def similar(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
 
 def shingles(sets: DataFrame) -> DataFrame:
-    """A row (node, h) for each shingle of sets (node, held)."""
+    """A row (node, h, n) for each shingle of sets (node, held); n is their number."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for node, held in zip(batch.column(0), batch.column(1), strict=True):
                 found = np.frombuffer(held.as_py(), dtype=np.int32)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(found), node.as_py(), dtype=np.int64)), pa.array(found)], names=["node", "h"])
+                same = (pa.array(np.full(len(found), x, dtype=np.int64)) for x in (node.as_py(), len(found)))
+                yield pa.RecordBatch.from_arrays([next(same), pa.array(found), next(same)], names=["node", "h", "n"])
 
-    return in_arrow(sets.select("node", "held"), run, "node long, h int")
+    return in_arrow(sets.select("node", "held"), run, "node long, h int, n long")
 
 
 def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Pairs (u, v) of nodes (node, n, root) with different roots that can still be a link.
+    """Pairs (u, v) of nodes (node, root) with different roots that can still be a link.
 
     Each node's shingles are put in one order for all, the rarest first. Two sets of sizes
     n1 >= n2 need an overlap of s / (1 + s) (n1 + n2), so they share a shingle before so many
@@ -413,14 +412,13 @@ def due_pairs(nodes: DataFrame, sets: DataFrame, similarity: float) -> DataFrame
     a shingle is common to a large component, its members are not held against each other.
     """
     s, level = similarity, lambda n: F.floor(F.log(n) / np.log(1.05)).cast("int")
-    nodes = nodes.join(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "root").where("n > 0")
+    nodes = nodes.join(nodes.groupBy("root").agg(F.count(F.lit(1)).alias("weight")), "root")
     rows = shingles(sets.join(nodes.select("node"), "node", "left_semi"))
     rows = rows.join(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")), "h")
-    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("c", "h")) - 1).where("c > 1").select("node", "h", "at")
-    rows = rows.join(nodes, "node").withColumn("left", F.col("n") - F.col("at"))
+    rows = rows.withColumn("at", F.row_number().over(Window.partitionBy("node").orderBy("c", "h")) - 1).where("c > 1").withColumn("left", F.col("n") - F.col("at"))
     most = F.col("left") * ((1 + s) / s) - F.col("n") + 1e-6  # the size of a partner
     rows = rows.withColumn("most", F.least(F.col("n").cast("double"), most)).where(F.col("most") >= F.col("n") * s)
-    rows = checkpoint(rows.select("node", "h", "n", "root", "weight", "left", "most"))
+    rows = checkpoint(rows.join(nodes, "node").select("node", "h", "n", "root", "weight", "left", "most"))
     names = ["node", "n", "root", "left", "weight", "h", "level"]
     seeks = rows.withColumn("level", F.explode(F.sequence(level(F.col("n") * s - 1e-6), level(F.col("most"))))).select(*names)
     stays = rows.where(F.col("left") * (1 + s) >= F.col("n") * (2 * s) - 1e-6).withColumn("level", level(F.col("n"))).select(*names)
@@ -441,10 +439,13 @@ def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     texts: text and text_hash of the documents, from which keys are made, and the sets of those
     nodes that share a bucket. In one bucket of HUB_BUCKETS, all are compared to its hub, the
     member that shares such buckets with the most others (the middle of a family of near
-    copies). Of all buckets that then hold more than one component, the members of small ones
-    meet pair by pair, of larger ones those pairs that could still be links. Hubs come from
-    sums that are made before the shuffle and are joined back. Whether a bucket has several
-    members or components is found by windows, so one bucket is one task.
+    copies). In all buckets that then hold more than one component, all are compared to the head
+    of one, the hub with the most links. Both give a row for each member, not for their pairs.
+    Of what is still apart then, those pairs meet that could still be links (``due_pairs``): a
+    copy too far from the head of its family can be near another only by changes that both have,
+    or by its size. Hubs come from sums that are made before the shuffle and are joined back.
+    Whether a bucket has several members or components is found by windows, so one bucket is
+    one task.
     """
     fits = lambda a, b: F.least(a, b) >= similarity * F.greatest(a, b) - 1e-9
     bucket = Window.partitionBy("key")
@@ -467,17 +468,17 @@ def alike(nodes: DataFrame, texts: DataFrame, shingle: int, similarity: float) -
     now = some.join(hubs, "key").where((F.col("node") != F.col("hub.node")) & fits(F.col("n"), F.col("hub.n")))
     links = checkpoint(similar(now.select(F.col("node").alias("u"), F.col("hub.node").alias("v")).distinct(), sets, similarity))
     found = checkpoint(components(links))
-    rooted = asked.select("node", "n").join(found.toDF("node", "root"), "node", "left").select("node", "n", F.coalesce("root", "node").alias("root"))
-    mixed = members.join(rooted, "node").withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "size": F.count(F.lit(1)).over(bucket)})
-    now = checkpoint(mixed.where("low < high").select("key", "node", "n", "root", "size"))
-    # Near copies share many buckets; those with the same members are one.
-    small = now.where(F.col("size") <= SMALL).groupBy("key").agg(F.sort_array(F.collect_set(F.struct("node", "n", "root"))).alias("m")).select("m").distinct()
-    small = small.select("m", F.explode("m").alias("a"))
-    others = F.filter("m", lambda b: (F.col("a.root") < b["root"]) & fits(F.col("a.n"), b["n"]))
-    few = small.select(F.col("a.node").alias("u"), F.explode(others).alias("b")).select("u", F.col("b.node").alias("v"))
-    pairs = due_pairs(checkpoint(now.where(F.col("size") > SMALL).select("node", "n", "root").distinct()), sets, similarity)
-    more = checkpoint(similar(few.union(pairs).distinct(), sets, similarity))
-    found = found if more.isEmpty() else checkpoint(components(links.union(more)))
+    head = F.max(F.struct("size", "node", "n", "root")).alias("head")
+    heads = links.groupBy(F.col("v").alias("node")).agg(F.count(F.lit(1)).alias("size")).join(found, "node").join(asked.select("node", "n"), "node").groupBy("root").agg(head)
+    rooted = asked.select("node", "n").join(found, "node", "left").select("node", "n", F.coalesce("root", "node").alias("root")).join(heads, "root", "left")
+    mixed = members.join(rooted, "node").withColumns({"low": F.min("root").over(bucket), "high": F.max("root").over(bucket), "head": F.max("head").over(bucket)})
+    # Near copies share many buckets, mostly with the same head.
+    now = checkpoint(mixed.where("low < high").select("node", "n", "root", "head").distinct())
+    asks = now.where((F.col("root") != F.col("head.root")) & fits(F.col("n"), F.col("head.n"))).select(F.col("node").alias("u"), F.col("head.node").alias("v"))
+    found = checkpoint(components(found.toDF("u", "v").union(similar(asks.distinct(), sets, similarity))))
+    apart = now.select("node").distinct().join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    more = checkpoint(similar(due_pairs(checkpoint(apart), sets, similarity).distinct(), sets, similarity))
+    found = found if more.isEmpty() else checkpoint(components(found.toDF("u", "v").union(more)))
     sets.unpersist()
     return found
 
